@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapack.llm import bpe, licenses, mixing, pii, quality
+from stratapack.llm import bpe, licenses, mixing, neardup, pii, quality
 from stratapack.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(spark, table(spark, sf_dir, "documents"), neardup.Params(words=4))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_licenses": op5_licenses,
+        "op7_neardup": op7_neardup,
         "op10_bpe": op10_bpe,
     }
 
