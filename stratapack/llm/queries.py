@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapack.llm import bpe, chat, licenses, maxscore, mixing, multiindex, neardup, pii, quality
+from stratapack.llm import bpe, chat, html, licenses, maxscore, mixing, multiindex, neardup, pii, quality
 from stratapack.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(spark, table(spark, sf_dir, "documents"), neardup.Params(words=4))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_licenses": op5_licenses,
+        "op6_html": op6_html,
         "op7_neardup": op7_neardup,
         "op8_maxscore": op8_maxscore,
         "op9_chat": op9_chat,
