@@ -12,13 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 MAX_RUN = 4096
 SAMPLE_BYTES = 65_536
 CAPS = {"compressible": 512 << 20, "executable": 128 << 20}
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def fingerprint(content: pd.Series) -> pd.Series:
     """The L2-normalised byte histogram, strided over long contents; zeros for an empty one."""
 
@@ -76,7 +77,7 @@ def similarity_order(items: DataFrame) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy("ext").orderBy("path", "item_id")) - 1
     cut = items.withColumn("run_no", F.floor(place / MAX_RUN).cast("long"))
-    return cut.select("item_id", "ext", "run_no", "path", "size", "fingerprint").groupBy("ext", "run_no").applyInPandas(run, "item_id long, ext string, run_no long, position long")
+    return cut.select("item_id", "ext", "run_no", "path", "size", "fingerprint").groupBy("ext", "run_no").applyInPandas(run, "item_id string, ext string, run_no long, position long")
 
 
 def pack(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -100,4 +101,4 @@ def pack(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
             bucket = None if alone else r.bucket
         return pd.DataFrame(rows, columns=["item_id", "segment", "group_in_segment", "payload_offset", "fallback_offset"])
 
-    return items.groupBy("segment").applyInPandas(run, "item_id long, segment string, group_in_segment long, payload_offset long, fallback_offset long")
+    return items.groupBy("segment").applyInPandas(run, "item_id string, segment string, group_in_segment long, payload_offset long, fallback_offset long")
