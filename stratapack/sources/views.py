@@ -80,10 +80,9 @@ def conv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One float32 vector per file, as little-endian bytes."""
     import numpy as np
-    import pandas as pd
 
-    @F.pandas_udf("binary")
-    def raw(v: pd.Series) -> pd.Series:
+    @F.pandas_udf("binary", F.PandasUDFType.SCALAR)
+    def raw(v):
         return v.map(lambda x: np.asarray(x, "<f4").tobytes())
 
     e = table(spark, sf_dir, "embeddings")
