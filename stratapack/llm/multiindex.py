@@ -6,9 +6,10 @@ the grid of sorted centroids (the multi-sequence walk), until the cells it passe
 candidates, and the entries are reranked by the exact distance.
 
 The codebooks are fitted on a bounded sample (sample_rows, the first by a seeded hash); every row is
-indexed. Cells are cut into chunks of at most about chunk_rows rows, so a hot cell spreads over many
-tasks, and each task meets one chunk with the queries that reach it. Only the codebooks and one count
-per cell (centroids squared) are on the driver. Recall against brute force is tested.
+indexed. Cells are cut into chunks of at most about chunk_rows rows and small neighbouring chunks share
+a bin of that size, so a hot cell spreads over many tasks; a task meets one bin with the queries that
+reach it, and each query looks at its own cells there. Only the codebooks and one count per cell
+(centroids squared) are on the driver. Recall against brute force is tested.
 
 Behaviour: vectors that are null, empty, zero, of another length than the most common, or hold null
 or non-finite components take no part, nor do rows without an id. A row repeated under one id is
@@ -34,9 +35,9 @@ from stratapack.llm.vectors import best, clean, common_length, matrix, top
 @dataclass(frozen=True)
 class Params:
     k: int = 10
-    centroids: int = 16
+    centroids: int = 48
     #: The share of all rows, and the least number, that a query's cells hold before its walk ends.
-    share: float = 0.16
+    share: float = 0.5
     least: int = 2000
     chunk_rows: int = 512
     sample_rows: int = 20_000
@@ -111,36 +112,43 @@ def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id
         counts[r["cell"]] = r["count"]
     chunks = np.maximum(1, -(-counts // p.chunk_rows))
     first = np.concatenate([[0], np.cumsum(chunks)])  # chunks are numbered through
+    held = np.repeat(counts / chunks, chunks)
+    bins = (np.cumsum(held) - held) // p.chunk_rows
+    bins = bins.astype(np.int64)
     want = max(p.least, int(p.share * n))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             v = matrix(b["vector"], d)
             near, far = distances(v[:, :half], one), distances(v[:, half:], two)
-            at, to = [], []
+            at, to, marks = [], [], []
             for i in range(len(b)):
-                for cell in walk(near[i], far[i], counts, want):
-                    at += [i] * int(chunks[cell])
-                    to += range(int(first[cell]), int(first[cell + 1]))
-            yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[at], "vector": b["vector"].to_numpy()[at], "chunk": np.array(to, np.int64)})
+                mine = np.zeros(len(counts), bool)
+                mine[walk(near[i], far[i], counts, want)] = True
+                reached = np.unique(bins[np.repeat(mine, chunks)])
+                at += [i] * len(reached)
+                to += reached.tolist()
+                marks += [np.packbits(mine).tobytes()] * len(reached)
+            yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[at], "vector": b["vector"].to_numpy()[at], "cells": marks, "bin": np.array(to, np.int64)})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c = b["cell"].to_numpy()
-            yield pd.DataFrame({"vec_id": b["vec_id"], "vector": b["vector"], "chunk": first[c] + b["key"].to_numpy() % chunks[c]})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "vector": b["vector"], "cell": c, "bin": bins[first[c] + b["key"].to_numpy() % chunks[c]]})
 
-    entries = indexed.withColumn("key", F.pmod(key, F.lit(1 << 40))).mapInPandas(place, "vec_id long, vector array<double>, chunk long")
-    queries = vectors.where(is_query(F.col("vec_id"))).mapInPandas(probe, "query_id long, vector array<double>, chunk long")
+    entries = indexed.withColumn("key", F.pmod(key, F.lit(1 << 40))).mapInPandas(place, "vec_id long, vector array<double>, cell int, bin long")
+    queries = vectors.where(is_query(F.col("vec_id"))).mapInPandas(probe, "query_id long, vector array<double>, cells binary, bin long")
     k = p.k
 
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        ids, x, out = e["vec_id"].to_numpy(), matrix(e["vector"], d), []
-        for qid, v in zip(q["query_id"], q["vector"], strict=True) if len(e) else ():
-            s = np.sqrt(((x - np.asarray(v)) ** 2).sum(1))
-            other = np.flatnonzero(ids != qid)
-            near = other[best(ids[other], s[other], k)] if len(other) else other
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "score": s[near]}))
+        ids, cells, x, out = e["vec_id"].to_numpy(), e["cell"].to_numpy(), matrix(e["vector"], d), []
+        for qid, v, marks in zip(q["query_id"], q["vector"], q["cells"], strict=True) if len(e) else ():
+            mine = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+            at = np.flatnonzero(mine[cells] & (ids != qid))
+            s = np.sqrt(((x[at] - np.asarray(v)) ** 2).sum(1))
+            near = best(ids[at], s, k)
+            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at[near]], "score": s[near]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    met = entries.groupBy("chunk").cogroup(queries.groupBy("chunk")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    met = entries.groupBy("bin").cogroup(queries.groupBy("bin")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     return top(met, k, F.col("score"))
