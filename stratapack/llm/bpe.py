@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapack.llm.common import slices, start, strings
+from stratapack.llm.common import ragged, slices, start, strings
 
 #: Pairs a worker keeps in its compatibility table; a full table is emptied, which changes speed only.
 PAIRS = 2_000_000
@@ -62,12 +62,6 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
 
 
-def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of many runs, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
-
-
 class WordBpe:
     """An encoder and decoder for a byte-level vocabulary file whose words end in a suffix."""
 

@@ -5,15 +5,14 @@ of the slots, so the slots' values are correlated and the estimate's variance fa
 Its stop: step j only yields values of at least j, so once every slot holds less, the rest is
 skipped. Values are integers (step << 32 | random part).
 
-1. Signatures: one map over the texts to a small table of band keys and sketches.
+1. Signatures: one map over the texts to a small table of band keys.
 2. Equal sets collapse: documents with the same set are one node, its smallest doc_id.
 3. Banding: each node meets its bucket's smallest node (a star, never all pairs). The star a node
    shares most bands with is verified on both full sets.
 4. Union-find by pointer jumping over the verified links.
-5. Buckets that still hold several components: every node outside the bucket's largest component is
-   compared with all nodes of other components there, under length and sketch bounds that no link
-   breaks (but by chance of about 1e-5 for a link right at the threshold), and verified in full.
-   After this no candidate pair between different components is untested.
+5. Buckets that still hold several components: every node outside its cluster's largest component
+   meets all nodes of the cluster in blocks of bounded size, on full sets, and only links come out.
+   After this no two candidates of different components are untested.
 6. Label propagation over the components' links.
 
 At threshold 0.8 a linked pair is missed by all 32 bands of 4 with probability 5e-8.
@@ -32,11 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapack.llm.common import mix64, slices, start, strings, text_or_empty
+from stratapack.llm.common import mix64, ragged, slices, start, strings, text_or_empty
 from stratapack.llm.shingles import shingle_sets
 from stratapack.session import materialize
 
@@ -48,8 +48,9 @@ BANDS = 32
 class Params:
     words: int = 5
     percent: int = 80  # links: 100 * intersection >= percent * union
-    #: Bits of the 128-bit sketch in which a linked pair may differ: 12.8 expected at 0.8, 3.4 the deviation.
-    most_bits: int = 28
+    #: Nodes of one block, as targets and as queries.
+    targets: int = 512
+    queries: int = 1024
 
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -87,43 +88,27 @@ def bands(h: np.ndarray, b: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """One bit per slot, as longs."""
-    return np.packbits((mix64(h) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-
-
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
     words = p.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}
+        known: dict[bytes, np.ndarray] = {}
         for b in slices(batches, "text", 4 << 20):
-            n, digest, keys, low, high = [], [], [], [], []
-            for s in shingle_sets(strings(b.column("text")), words):
-                n.append(len(s))
-                if not len(s):
-                    digest.append(None)
-                    keys.append(None)
-                    low.append(None)
-                    high.append(None)
-                    continue
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                got = known.get(d)
-                if got is None:
+            found = shingle_sets(strings(b.column("text")), words)
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
+            keys = []
+            for x, d in zip(found, digest, strict=True):
+                if d is not None and d not in known:
                     if len(known) > 20_000:
                         known.clear()
-                    h = signature(s)
-                    got = known[d] = (bands(h), *sketch(h).tolist())
-                digest.append(d.hex())
-                keys.append(got[0])
-                low.append(got[1])
-                high.append(got[2])
+                    known[d] = bands(signature(x))
+                keys.append(None if d is None else known[d])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.string()),
-                "bands": pa.array(keys, pa.list_(pa.int64())), "s0": pa.array(low, pa.int64()), "s1": pa.array(high, pa.int64()),
+                "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()),
+                "digest": pa.array([d and d.hex() for d in digest], pa.string()), "bands": pa.array(keys, pa.list_(pa.int64())),
             })
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest string, bands array<long>, s0 long, s1 long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest string, bands array<long>")
 
 
 def verify(texts: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
@@ -172,13 +157,68 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def links_in_block(targets: list[np.ndarray], queries: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """Per query the targets it is linked with: exact intersection sizes with all of them by one inverted list."""
+    sizes = np.array([len(t) for t in targets])
+    flat, owner = np.concatenate(targets), np.repeat(np.arange(len(targets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for q in queries:
+        lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
+        both = np.bincount(owner[ragged(lo, hi - lo)], minlength=len(targets))
+        yield np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(q) - both)))
+
+
+def block_links(spark: SparkSession, texts: DataFrame, here: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket.
+
+    Buckets that share nodes make a cluster. Every node outside its cluster's largest component is a
+    query against all of the cluster, in blocks of bounded size; small clusters share blocks. Only links
+    leave a block, no pairs.
+    """
+    linked = components(spark, here.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    nodes = here.select("id", "comp").distinct().join(linked.withColumnRenamed("label", "cluster"), "id")
+    nodes = materialize(spark, nodes, "nodes")
+    sizes = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("most"))
+    sizes = materialize(spark, sizes, "clusters")
+    small = F.col("size") <= p.targets
+    shared = sizes.where(small).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bins = max(1, -(-shared // p.targets))
+    nodes = nodes.join(sizes, "cluster").withColumn("asks", F.col("comp") != F.col("main"))
+    across, down = F.ceil(F.col("size") / p.targets).cast("int"), F.ceil((F.col("size") - F.col("most")) / p.queries).cast("int")
+    deal = lambda of, seed: F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda t, q, ask: F.struct(F.concat_ws(":", F.col("cluster"), t, q).alias("block"), F.lit(ask).alias("ask"))
+    as_target = F.transform(upto(down), lambda q: cell(deal(across, 1), q, False))
+    as_query = F.when(F.col("asks"), F.transform(upto(across), lambda t: cell(t, deal(down, 2), True))).otherwise(F.array().cast("array<struct<block:string,ask:boolean>>"))
+    alone = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("block"), F.lit(False).alias("ask")))
+    cells = F.when(small, alone).otherwise(F.concat(as_target, as_query))
+    placed = nodes.select("id", "comp", "asks", cells.alias("cells")).join(texts.withColumnRenamed("doc_id", "id"), "id").select("comp", "asks", "text", F.explode("cells").alias("cell")).select("comp", "asks", "text", "cell.*")
+    words, percent = p.words, p.percent
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        comp = pdf["comp"].to_numpy()
+        sets = shingle_sets(pa.array(pdf["text"], pa.string()), words)
+        own = key[0].startswith("s")  # queries of small clusters are targets as well
+        asks = np.flatnonzero(pdf["asks"] if own else pdf["ask"])
+        targets = np.arange(len(pdf)) if own else np.flatnonzero(~pdf["ask"])
+        out = set()
+        if len(targets) and len(asks):
+            for q, near in zip(asks, links_in_block([sets[t] for t in targets], [sets[q] for q in asks], percent), strict=True):
+                out |= {(max(comp[q], c), min(comp[q], c)) for c in np.unique(comp[targets[near]]) if c != comp[q]}
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
+
+    return placed.groupBy("block").applyInPandas(run, "a long, b long").distinct()
+
+
 def groups(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     start(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     table = materialize(spark, signatures(texts, p), "signatures")
     sets = materialize(spark, table.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = table.join(sets, "digest").where("doc_id = id").select("id", "n", "s0", "s1", F.explode("bands").alias("key"))
+    nodes = table.join(sets, "digest").where("doc_id = id").select("id", F.explode("bands").alias("key"))
     stars = materialize(spark, nodes.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "stars")
     buckets = materialize(spark, nodes.join(stars, "key"), "buckets")
 
@@ -186,19 +226,10 @@ def groups(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFr
     tried = materialize(spark, shared.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b")), "tried")
     roots = settle(spark, materialize(spark, verify(texts, tried, p).distinct().groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent")), "links"))
 
-    placed = buckets.drop("lead").join(roots, "id", "left").withColumn("comp", F.coalesce("parent", "id")).drop("parent")
-    placed = materialize(spark, placed, "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = materialize(spark, sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where("k > 1").select("key", "main"), "mixed")
+    placed = materialize(spark, buckets.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("parent", "id").alias("comp")), "placed")
+    mixed = materialize(spark, placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("lead")).where("lo < hi").select("key", "lead"), "mixed")
     here = materialize(spark, placed.join(mixed, "key"), "here")
-    x, y = here.where("comp <> main").alias("x"), here.alias("y")
-    differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("y.id") < F.col("x.id")))
-    near = near & (100 * F.col("x.n") >= p.percent * F.col("y.n")) & (100 * F.col("y.n") >= p.percent * F.col("x.n")) & (differ <= p.most_bits)
-    pairs = x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy")).distinct()
-    pairs = materialize(spark, pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = materialize(spark, verify(texts, pairs.select("a", "b"), p).distinct(), "found")
-    merged = components(spark, pairs.join(found, ["a", "b"], "left_semi").select(F.col("cx").alias("a"), F.col("cy").alias("b")))
+    merged = components(spark, block_links(spark, texts, here, p))
 
     labels = sets.join(roots, "id", "left").withColumn("comp", F.coalesce("parent", "id"))
     labels = labels.join(merged.select(F.col("id").alias("comp"), "label"), "comp", "left").select("digest", F.coalesce("label", "comp").alias("component_id"))
