@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from stratapack.llm.common import ascii_words, mix64, row_bounds, slices, start, strings, text_or_empty
 
 THRESHOLD = 0.7
+#: A repeated word's mark counts as this many features, about half of what the word itself has.
+REPEAT = 6
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,8 @@ class Params:
     dim: int = 8
     grams: tuple[int, ...] = (2, 3, 4)
     epochs: int = 6
+    #: Few documents are gone over more often, up to this many steps.
+    least_steps: int = 6000
     rate: float = 0.5
     seed: int = 7
     max_train_docs: int = 3000
@@ -104,7 +108,7 @@ class Model:
 def _repeats(rows: np.ndarray, index: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), np.int64)
     out[1:] = (rows[1:] == rows[:-1]) & (index[1:] == index[:-1])
-    return out
+    return out * REPEAT
 
 
 def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
@@ -137,11 +141,12 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     table = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
     layer = np.zeros((p.dim, 2), np.float32)
     bias = np.log([1 - share, share]).astype(np.float32)
-    step, steps = 0, p.epochs * len(y)
+    epochs = max(p.epochs, -(-p.least_steps // len(y)))
+    step, steps = 0, epochs * len(y)
     # Each class weighs the same in sum, so the rarer one is learnt as well; the bias keeps the prior.
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     bias[:] = 0
-    for _ in range(p.epochs):
+    for _ in range(epochs):
         for d in rng.permutation(len(y)):
             rate = p.rate * (1 - step / steps)
             step += 1
