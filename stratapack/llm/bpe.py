@@ -351,7 +351,7 @@ def digests(path: str, ids_out: bool = False):
         bpe = load(path)
         names = pa.array(bpe.names, pa.string())
         numbers = pa.array([str(i) for i in range(len(bpe.names))], pa.string())
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "text", 6 << 20):
             ids, ends = encode_texts(bpe, strings(b.column("text")))
             at = pa.array(ends.astype(np.int32))
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(ends).astype(np.int64))}

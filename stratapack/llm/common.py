@@ -14,7 +14,7 @@ from stratapack.session import ship_code
 
 #: Rows of one Arrow batch that goes to a Python worker, and bytes of text worked on at once there.
 ROWS_A_BATCH = 5000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 8 << 20
 
 

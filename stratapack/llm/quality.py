@@ -32,6 +32,8 @@ from stratapack.llm.common import ascii_words, mix64, row_bounds, slices, start,
 THRESHOLD = 0.7
 #: A repeated word's mark counts as this many features, about half of what the word itself has.
 REPEAT = 6
+#: Bytes of text scored at once: the features of its distinct words take some thirty times as much.
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             score = m.score(strings(b.column("text")))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
@@ -207,7 +209,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             yield b.filter(pa.array(m.score(strings(b.column("text"))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
