@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapack.llm.common import mix64, ragged, slices, start, strings, text_or_empty
@@ -176,8 +176,12 @@ def block_links(spark: SparkSession, texts: DataFrame, here: DataFrame, p: Param
     query against all of the cluster, in blocks of bounded size; small clusters share blocks. Only links
     leave a block, no pairs.
     """
-    linked = components(spark, here.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")))
-    nodes = here.select("id", "comp").distinct().join(linked.withColumnRenamed("label", "cluster"), "id")
+    # Each node joins its smallest bucket leader; what is left to connect are leaders that share a node.
+    met = here.select("id", "comp", "lead").distinct().withColumn("first", F.min("lead").over(Window.partitionBy("id")))
+    met = materialize(spark, met, "met")
+    leaders = components(spark, met.where("lead <> first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct())
+    nodes = met.select("id", "comp", "first").distinct().join(leaders.withColumnRenamed("id", "first"), "first", "left")
+    nodes = nodes.select("id", "comp", F.coalesce("label", "first").alias("cluster"))
     nodes = materialize(spark, nodes, "nodes")
     sizes = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("cluster").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("most"))
