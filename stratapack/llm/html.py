@@ -2,14 +2,22 @@
 
 A page is cut into blocks. A block inside an article (or main) element is text for certain, one inside
 a menu, header, footer, sidebar, form, script, comment list and the like is not. What neither says is
-settled by differencing: pages of a host are ordered by URL path, each page is paired with the
-neighbour that shares the longer path prefix (and isn't a copy of the page), their lines are aligned
-by longest common subsequence, and undecided lines on it are deleted. Lines inside an article are
-never deleted for being shared: articles quote each other, and copies of a whole article share all.
-
-Neighbours are found without putting a host in one task: URLs are cut into ranges by a bounded sample,
-each range is ordered by itself, and the first and last page of every range are handed to the ranges
-beside it, so that the pairing doesn't depend on the cuts. Only line hashes are shuffled.
+settled by differencing: pages of a host are ordered by URL path, and neighbours that are equal or
+nearly equal (NEAR percent of the longer one's text in shared lines) make a run. Each run is paired
+with the page before or after it, whichever shares the longer path prefix with the run's end there;
+every page's lines are aligned with that page's by longest common subsequence, and undecided lines on
+it are deleted. So all copies of a run get the same text, and near copies don't delete what they have
+in common. A page of the run that is nearly equal to the partner too takes the other side's. Where a
+host is one single run nothing tells boilerplate from text, and undecided lines stay. Lines inside an
+article are never deleted for being shared: articles quote each other, and copies of a whole article
+share all. Pages without a line are no neighbours.
+
+Neighbours are found without putting a host in one task: URLs are cut into ranges by a bounded sample
+and each range is ordered by itself. The outermost pages of a range and those beside its outermost
+runs (four line lists a range) are folded on the driver into what each range has to know of the ones
+beside it, so that runs and pairing don't depend on the cuts. One pass forward finds the pages before
+the runs, one backward those after; each holds a few pages at a time. Only line hashes and lengths
+are shuffled.
 
 Behaviour: null or empty html gives an empty text; a null URL is the empty URL; character references
 are decoded once; br is white space inside a block; white space is what Python's split() takes for
@@ -27,7 +35,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapack.llm.common import slices, start
@@ -56,6 +64,8 @@ HINTS = frozenset(
 )
 HEADER_HINTS = frozenset({"header", "head", "top"})
 EXCLUDED, ARTICLE, MAIN = 1, 2, 4
+#: Percent of the longer page's text that shared lines make up in nearly equal pages.
+NEAR = 80
 
 
 def _hinted(attrs: str, inside: bool, name: str) -> bool:
@@ -197,7 +207,7 @@ def _hash(line: str) -> int:
 
 
 def line_table(spark: SparkSession, pages: DataFrame, buckets: int, sample_rows: int) -> DataFrame:
-    """key, bucket, host, path, hashes of all lines, places of the undecided ones."""
+    """key, bucket, host, path, hashes of all lines, their lengths (0 for what is not text), places of the undecided ones."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url").alias("h"))
     n = urls.count()
@@ -208,47 +218,176 @@ def line_table(spark: SparkSession, pages: DataFrame, buckets: int, sample_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            hashes, unsure = [], []
+            hashes, sizes, unsure = [], [], []
             for h in b.column("html").to_pylist():
                 lines, kinds = lines_of(h)
                 hashes.append([_hash(x) for x in lines])
+                sizes.append([len(x) if k else 0 for x, k in zip(lines, kinds, strict=True)])
                 unsure.append([i for i, k in enumerate(kinds) if k == 1])
             at = [bisect.bisect_right(bounds, p) for p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             cols = {c: b.column(c) for c in ("key", "host", "path")}
-            yield pa.RecordBatch.from_pydict(cols | {"bucket": pa.array(at, pa.int32()), "hashes": pa.array(hashes, pa.list_(pa.int64())), "unsure": pa.array(unsure, pa.list_(pa.int32()))})
+            cols |= {"bucket": pa.array(at, pa.int32()), "hashes": pa.array(hashes, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(cols | {"sizes": pa.array(sizes, pa.list_(pa.int32())), "unsure": pa.array(unsure, pa.list_(pa.int32()))})
 
     d = pages.select(_row_key().alias("key"), host.alias("host"), path.alias("path"), "html")
-    return materialize(spark, d.mapInArrow(run, "key long, host string, path string, bucket int, hashes array<long>, unsure array<int>"), "lines")
+    return materialize(spark, d.mapInArrow(run, "key long, host string, path string, bucket int, hashes array<long>, sizes array<int>, unsure array<int>"), "lines")
 
 
-def shared_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """key, places: the undecided lines of a page that its nearest page has as well."""
-    row = F.struct("host", "path", "key", "hashes")
-    edges = lines.groupBy("bucket").agg(F.min(row).alias("a"), F.max(row).alias("b"))  # one row per range
-    beside = Window.orderBy("bucket")
-    edges = edges.select("bucket", F.lag("b").over(beside).alias("a"), F.lead("a").over(beside).alias("b"))
-    ghosts = edges.select("bucket", F.explode(F.array("a", "b")).alias("g")).where("g IS NOT NULL").select("bucket", "g.*")
-    own = lines.select("bucket", "host", "path", "key", "hashes", "unsure")
-    both = own.unionByName(ghosts.withColumn("unsure", F.lit(None).cast("array<int>")))
-    order = Window.partitionBy("bucket").orderBy("host", "path", "key", F.col("unsure").isNotNull())
-    near = F.struct("host", "path", "hashes")
-    met = both.select("key", "host", "path", "hashes", "unsure", F.lag(near).over(order).alias("before"), F.lead(near).over(order).alias("after")).where(F.size("unsure") > 0)
+class Page:
+    """A page as its neighbours see it."""
+
+    __slots__ = ("_bag", "hashes", "host", "path", "sizes")
+
+    def __init__(self, host: str, path: str, hashes: np.ndarray, sizes: np.ndarray):
+        self.host, self.path, self.hashes, self.sizes, self._bag = host, path, hashes, sizes, None
+
+    def bag(self) -> tuple[dict[int, int], int]:
+        """Characters of text in each line, all its repetitions together, and in all lines."""
+        if self._bag is None:
+            lines: dict[int, int] = {}
+            for h, n in zip(self.hashes.tolist(), self.sizes.tolist(), strict=True):
+                if n:
+                    lines[h] = lines.get(h, 0) + n
+            self._bag = lines, sum(lines.values())
+        return self._bag
+
+    def same(self, other: Page) -> bool:
+        return np.array_equal(self.hashes, other.hashes)
+
+    def near(self, other: Page) -> bool:
+        """Equal or nearly equal."""
+        if self.same(other):
+            return True
+        (a, n), (b, m) = self.bag(), other.bag()
+        if 100 * min(n, m) < NEAR * max(n, m) or not n:
+            return False
+        return 100 * sum(min(c, b[h]) for h, c in a.items() if h in b) >= NEAR * max(n, m)
+
+
+class Runs:
+    """Walks pages in order, in either direction: the last page, and its run's partner behind it."""
+
+    def __init__(self, last: Page | None = None, partner: Page | None = None, prefix: int = 0):
+        self.last, self.partner, self.prefix = last, partner, prefix
+
+    def step(self, page: Page) -> bool:
+        """Whether the page begins a run."""
+        last, self.last = self.last, page
+        if last is not None and last.host == page.host and last.near(page):
+            return False
+        self.partner = last if last is not None and last.host == page.host else None
+        self.prefix = _prefix(self.partner.path, page.path) if self.partner else 0
+        return True
+
+
+def _pages(b: pa.RecordBatch) -> Iterator[tuple[int, Page]]:
+    """(bucket, page) of each row."""
+    hashes, sizes = b.column("hashes"), b.column("sizes")
+    flat, lengths, ends = hashes.values.to_numpy(), sizes.values.to_numpy(), hashes.offsets.to_numpy()
+    begins = sizes.offsets.to_numpy()
+    rows = zip(b.column("bucket").to_pylist(), b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)
+    for i, (bucket, host, path) in enumerate(rows):
+        yield bucket, Page(host, path, flat[ends[i] : ends[i + 1]].copy(), lengths[begins[i] : begins[i + 1]].copy())
+
+
+EDGE = "struct<host: string, path: string, hashes: binary, sizes: binary>"
+
+
+def _packed(p: Page | None) -> dict | None:
+    return p and {"host": p.host, "path": p.path, "hashes": p.hashes.astype(np.int64).tobytes(), "sizes": p.sizes.astype(np.int32).tobytes()}
+
+
+def _unpacked(r) -> Page | None:
+    return r and Page(r["host"], r["path"], np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["sizes"], np.int32))
+
+
+def _edges(lines: DataFrame) -> list[dict]:
+    """Per range in order: its first and last page, whether it is one run, the partners inside it of its first and last run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now, runs, first, after = [], None, Runs(), None, None
+        whole, inner = True, 0  # one run so far; runs begun
+
+        def close() -> None:
+            if now is not None:
+                before = None if whole else runs.partner
+                rows.append({"bucket": now, "first": _packed(first), "last": _packed(runs.last), "whole": whole, "before": _packed(before), "after": _packed(after), "ahead": 0 if whole else runs.prefix, "behind": inner})
+
         for b in batches:
-            keys, places = [], []
-            for r in b.to_pylist():
-                sides = [s for s in (r["before"], r["after"]) if s and s["host"] == r["host"] and s["hashes"] != r["hashes"]]
-                if sides:
-                    other = max(sides, key=lambda s: _prefix(s["path"], r["path"]))  # of equals the page before
-                    hit = sorted(set(common_lines(r["hashes"], other["hashes"])) & set(r["unsure"]))
-                    if hit:
-                        keys.append(r["key"])
-                        places.append(hit)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "places": pa.array(places, pa.list_(pa.int32()))})
-
-    out = met.mapInArrow(run, "key long, places array<int>")
-    return materialize(spark, out.groupBy("key").agg(F.first("places").alias("places")), "shared")
+            for bucket, page in _pages(b):
+                if bucket != now:
+                    close()
+                    now, runs, first, after, whole, inner = bucket, Runs(), page, None, True, 0
+                    runs.step(page)
+                    continue
+                previous = runs.last
+                if runs.step(page):
+                    if whole and runs.partner is not None:
+                        after, inner = page, _prefix(page.path, previous.path)
+                    whole = False
+        close()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("first", _EDGE), ("last", _EDGE), ("whole", pa.bool_()), ("before", _EDGE), ("after", _EDGE), ("ahead", pa.int32()), ("behind", pa.int32())]))
+
+    found = lines.select("bucket", "host", "path", "key", "hashes", "sizes").repartition("bucket").sortWithinPartitions("bucket", "host", "path", "key")
+    found = found.mapInArrow(run, f"bucket int, first {EDGE}, last {EDGE}, whole boolean, before {EDGE}, after {EDGE}, ahead int, behind int")
+    rows = sorted((r.asDict() for r in found.collect()), key=lambda r: r["bucket"])
+    return [r | {c: _unpacked(r[c]) for c in ("first", "last", "before", "after")} for r in rows]
+
+
+_EDGE = pa.struct([("host", pa.string()), ("path", pa.string()), ("hashes", pa.binary()), ("sizes", pa.binary())])
+
+
+def _carried(edges: list[dict], back: bool) -> dict[int, tuple]:
+    """What the walk of each range starts from: the last page before it, that page's run's partner, their prefix."""
+    near, far, partner, prefix = ("last", "first", "after", "behind") if back else ("first", "last", "before", "ahead")
+    out, runs = {}, Runs()
+    for e in reversed(edges) if back else edges:
+        out[e["bucket"]] = (runs.last, runs.partner, runs.prefix)
+        runs.step(e[near])
+        if e["whole"]:
+            runs.last = e[far]
+        else:
+            runs = Runs(e[far], e[partner], e[prefix])
+    return out
+
+
+def _partners(lines: DataFrame, carried: dict[int, tuple], back: bool) -> DataFrame:
+    """key, prefix, places: the undecided lines that a page shares with the partner behind its run, if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs, done, hit = None, Runs(), None, None
+        for b in batches:
+            keys, prefixes, places = [], [], []
+            rows = zip(b.column("key").to_pylist(), b.column("unsure").to_pylist(), _pages(b), strict=True)
+            for key, unsure, (bucket, page) in rows:
+                if bucket != now:
+                    now, runs, done = bucket, Runs(*carried[bucket]), None
+                begins = runs.step(page)
+                partner = runs.partner
+                if not unsure or partner is None:
+                    continue
+                if begins or done is None or done[1] != unsure or not done[0].same(page):  # copies repeat their result
+                    hit = None if page.near(partner) else sorted(set(common_lines(page.hashes.tolist(), partner.hashes.tolist())) & set(unsure))
+                    done = page, unsure
+                if hit is not None:
+                    keys.append(key)
+                    prefixes.append(runs.prefix)
+                    places.append(hit)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "prefix": pa.array(prefixes, pa.int32()), "places": pa.array(places, pa.list_(pa.int32()))})
+
+    order = [F.col(c).desc() if back else F.col(c) for c in ("bucket", "host", "path", "key")]
+    rows = lines.select("bucket", "host", "path", "key", "hashes", "sizes", "unsure").repartition("bucket").sortWithinPartitions(*order)
+    return rows.mapInArrow(run, "key long, prefix int, places array<int>").withColumn("side", F.lit(0 if back else 1))
+
+
+def shared_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """key, places: the undecided lines of a page that its run's partner has as well."""
+    lines = lines.where(F.size("hashes") > 0)
+    edges = _edges(lines)
+    both = _partners(lines, _carried(edges, False), False).unionByName(_partners(lines, _carried(edges, True), True))
+    nearest = F.max_by("places", F.struct("prefix", "side"))  # of equals the page before
+    return materialize(spark, both.groupBy("key").agg(nearest.alias("places")).where(F.size("places") > 0), "shared")
 
 
 def _prefix(a: str, b: str) -> int:

@@ -66,3 +66,77 @@ def test_text_in_articles_stays(spark):
     shared = "<article><h1>Same</h1><p>quoted by many</p></article>"
     df = spark.createDataFrame([(1, "http://a.example/1", shared + "<p>x</p>"), (2, "http://a.example/2", shared + "<p>y</p>")], "page_id long, url string, html string")
     assert [r["text"] for r in html.extract(spark, df).collect()] == ["Same\nquoted by many"] * 2
+
+
+def brute_text(rows):
+    """Runs and partners straight from the definition, host by host; text per row number."""
+
+    def near(a, b):
+        if a[0] == b[0]:
+            return True
+        bags = [[t for t, k in zip(*x) if k] for x in (a, b)]
+        n = [sum(map(len, x)) for x in bags]
+        shared = sum(min(bags[0].count(t), bags[1].count(t)) * len(t) for t in set(bags[0]))
+        return min(n) > 0 and 100 * shared >= 80 * max(n)
+
+    pages = sorted(rows, key=lambda r: (r["host"], r["path"], r["key"]))
+    pages = [r | {"lines": html.lines_of(r["html"])} for r in pages]
+    runs = []
+    for p in (p for p in pages if p["lines"][0]):
+        if runs and runs[-1][-1]["host"] == p["host"] and near(runs[-1][-1]["lines"], p["lines"]):
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+    out = {}
+    for i, run in enumerate(runs):
+        sides = []
+        if i and runs[i - 1][0]["host"] == run[0]["host"]:
+            sides.append((html._prefix(runs[i - 1][-1]["path"], run[0]["path"]), 1, runs[i - 1][-1]["lines"]))
+        if i + 1 < len(runs) and runs[i + 1][0]["host"] == run[0]["host"]:
+            sides.append((html._prefix(runs[i + 1][0]["path"], run[-1]["path"]), 0, runs[i + 1][0]["lines"]))
+        for p in run:
+            lines, kinds = p["lines"]
+            mine = [s for s in sides if not near(s[2], p["lines"])]
+            drop = set(html.common_lines(lines, max(mine, key=lambda s: s[:2])[2][0])) if mine else ()
+            out[p["page_id"]] = "\n".join(t for j, (t, k) in enumerate(zip(lines, kinds)) if k and not (k == 1 and j in drop))
+    return out
+
+
+def test_copies_and_near_copies(spark):
+    """Runs of equal and nearly equal pages get one result, wherever ranges cut them."""
+    main = "".join(f"<p>paragraph {i} of the long main text</p>" for i in range(9))
+    same = page(1, "x").replace("<p>x</p>", main)
+    near = [page(1, "x").replace("<p>x</p>", f"{main}<p>visit {i}</p>") for i in range(5)]
+    other = page(2, "something else entirely, and long enough to differ")
+    rows = [(i, f"http://a.example/p/{i:02d}?s={i}", same, None) for i in range(12)] + [(20, "http://a.example/z", other, None)]
+    rows += [(30 + i, f"http://b.example/p?s={i}", h, None) for i, h in enumerate([same] * 4)] + [(40, "http://b.example/q", None, None), (41, "http://b.example/r", other, None)]
+    rows += [(50 + i, f"http://c.example/p{i}", h, None) for i, h in enumerate(near)] + [(60, "http://c.example/z", other, None)]
+    rows += [(70 + i, f"http://d.example/p{i}", h, None) for i, h in enumerate(near)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    body = "\n".join(f"paragraph {i} of the long main text" for i in range(9))
+    for buckets in (1, 5, 256):
+        got = {r["page_id"]: r["text"] for r in html.extract(spark, df, buckets=buckets).collect()}
+        assert {got[i] for i in [*range(12), *range(30, 34)]} == {f"Title 1\n{body}"}
+        assert [got[50 + i] for i in range(5)] == [f"Title 1\n{body}\nvisit {i}" for i in range(5)]
+        assert got[60] == got[20] == "Title 2\nsomething else entirely, and long enough to differ"
+        assert all(got[70 + i] == f"Welcome\nTitle 1\n{body}\nvisit {i}\nAll rights reserved" for i in range(5))
+
+
+def test_runs_against_definition(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        texts = [f"{'own' if rng.random() < 0.5 else 'shared'} line {rng.randrange(3)} {'word ' * rng.randrange(6)}" for _ in range(rng.randrange(5))]
+        parts = ["head of all pages", *(texts if rng.random() < 0.6 or not rows else rng.choice(rows)[3]), "foot of all"]
+        if rng.random() < 0.1:
+            parts.append(f"stamp {i}")
+        body = "".join(f"<p>{t}</p>" for t in parts)
+        kind = rng.random()
+        page_html = None if kind < 0.05 else f"<article>{body}</article>" if kind < 0.15 else f"<nav><p>menu {i % 3}</p></nav>{body}"
+        rows.append((i, f"http://h{rng.randrange(3)}.example/{rng.choice('ab')}/{rng.randrange(40)}", page_html, texts))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    host, path = html.host_and_path(df["url"])
+    want = brute_text([r.asDict() for r in df.select("page_id", "html", host.alias("host"), path.alias("path"), html._row_key().alias("key")).collect()])
+    for buckets in (1, 9, 64):
+        got = {r["page_id"]: r["text"] for r in html.extract(spark, df, buckets=buckets).collect()}
+        assert got == {i: want.get(i, "") for i in range(300)}
