@@ -1,16 +1,18 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton passes once over each whole text and stops at anchors only: at-signs,
-digits and plus signs, URL schemes, and cues of an identifier ("iban", "account", ...). A
-deterministic local parser per anchor then expands to the boundaries and validates:
+digits and plus signs, URL schemes, and cues of an identifier ("iban", "account", ...), both in any
+case. A deterministic local parser per anchor then expands to the boundaries and validates:
 
 * email: from an at-sign to the left over local-part characters, to the right over a dotted domain;
 * ip, card, phone: the run of digits and their separators around a digit or plus, cut by each kind's
   own grammar, then part range, Luhn sum or digit count;
 * url: from a scheme over the address's characters, without closing punctuation;
-* account: from a cue over a short separator to the next token of letters and digits with a digit;
-* iban: a cue-free check of country, length and the mod-97 sum would cost every word, so IBANs are
-  read at their cue, as accounts.
+* account: from a cue over a short separator. An IBAN, in one token or in groups, is told by its
+  country's length and the mod-97 sum and ends where they say. Else it is the next token of letters
+  and digits with a digit, or the groups of 2 to 6 characters printed with single spaces or hyphens
+  between them, whichever is longer; groups of letters alone end it. An IBAN with a wrong sum is still
+  an account: mistyped numbers are personal too. IBANs without a cue aren't looked for.
 
 Base kinds are email, ip, card and phone; url and account are this method's own and never change
 the base spans. Spans are in code points, end exclusive.
@@ -39,7 +41,16 @@ OWN_KINDS = ("url", "account")
 ORDER = {k: i for i, k in enumerate((*KINDS, *OWN_KINDS))}
 
 SCHEMES = ("http://", "https://", "ftp://")
-CUES = ("iban", "IBAN", "account", "Account", "acct", "ssn", "SSN", "passport", "Passport", "user id", "User ID")
+CUES = ("iban", "account", "acct", "ssn", "passport", "user id")
+#: Characters of an IBAN by country.
+IBAN_SIZES = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,7 +59,10 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-VALUE = re.compile(r"[\x20:#=.]{1,4}(?:(?:no|number)[\x20:#=.]{1,3})?([A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9-])", re.IGNORECASE)
+SEPARATOR = re.compile(r"[\x20:#=.]{1,4}(?:(?:no|number)[\x20:#=.]{1,3})?", re.IGNORECASE)
+TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{4,33}(?![A-Za-z0-9-])")
+GROUPS = re.compile(r"(?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?:[\x20-](?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?![A-Za-z0-9])){1,8}")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9])+")
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +79,43 @@ def digits_of(s: str) -> str:
     return "".join([c for c in s if "0" <= c <= "9"])
 
 
+def iban_end(text: str, at: int) -> int:
+    """Where the valid IBAN that begins here ends; 0 if there is none."""
+    size = IBAN_SIZES.get(text[at : at + 2].upper())
+    m = IBAN.match(text, at, at + 2 * size) if size else None
+    if m is None:
+        return 0
+    end, held = at, []
+    while end < m.end() and len(held) < size:
+        if text[end] not in " -":
+            held.append(text[end])
+        end += 1
+    if len(held) < size or (end < len(text) and text[end].isalnum()):
+        return 0
+    number = "".join(held[4:] + held[:4])
+    return end if int("".join([str(int(c, 36)) for c in number])) % 97 == 1 else 0
+
+
+def account_span(text: str, at: int) -> tuple[int, int] | None:
+    """The account number after a cue that ends here."""
+    m = SEPARATOR.match(text, at)
+    if m is None:
+        return None
+    begin = m.end()
+    if end := iban_end(text, begin):
+        return begin, end
+    one, many = TOKEN.match(text, begin), GROUPS.match(text, begin)
+    ends = [one.end()] if one and any("0" <= c <= "9" for c in one.group()) else []
+    if many and sum(c not in " -" for c in many.group()) >= 6:
+        ends.append(many.end())
+    return (begin, max(ends)) if ends else None
+
+
+def lowered(text: str) -> str:
+    """Lower case, place for place; only the dotted capital I would become two characters."""
+    return (text.replace("\u0130", "i") if "\u0130" in text else text).lower()
+
+
 def build_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for k, kind in [("@", "@"), ("+", "n"), *((str(i), "n") for i in range(10)), *((s, "url") for s in SCHEMES), *((c, "cue") for c in CUES)]:
@@ -94,7 +145,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, i
     """All spans of one text, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
     numbers = emails = urls = accounts = 0  # where the last run or match of each ended
-    for end, (kind, size) in automaton.iter(text):
+    for end, (kind, size) in automaton.iter(lowered(text)):
         at = end + 1 - size
         if kind == "n":
             if at >= numbers:
@@ -113,10 +164,9 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, i
                 urls = end + 1 + len(m.group().rstrip(".,;:!?'\")]"))
                 if urls > end + 1:
                     out.append((at, urls, "url"))
-        elif at >= accounts and (not at or not text[at - 1].isalnum()) and (m := VALUE.match(text, end + 1)):
-            if any("0" <= c <= "9" for c in m.group(1)):
-                accounts = m.end(1)
-                out.append((m.start(1), accounts, "account"))
+        elif at >= accounts and (not at or not text[at - 1].isalnum()) and (found := account_span(text, end + 1)):
+            accounts = found[1]
+            out.append((*found, "account"))
     if len(out) > 1:
         out.sort(key=lambda s: (s[0], ORDER[s[2]]))
     return out

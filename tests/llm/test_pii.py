@@ -65,3 +65,34 @@ def test_frame(spark):
     out = {r["doc_id"]: r for r in pii.redact(spark, df).collect()}
     assert out[1]["text"] == "mail <EMAIL> <IP>" and out[1]["n_chars"] == 17 and out[2]["text"] is None
     assert pii.find(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 and more", "DE89 3704 0044 0532 0130 00"),
+        ("Iban: ch93-0076-2011-6238-5295-7.", "ch93-0076-2011-6238-5295-7"),
+        ("IBAN GB82 WEST 1234 5698 7654 32 2024 was", "GB82 WEST 1234 5698 7654 32"),
+        ("iban NO93 8601 1117 947", "NO93 8601 1117 947"),
+        ("ACCOUNT IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"),
+        ("IBAN DE88 3704 0044 0532 0130 00 mistyped", "DE88 3704 0044 0532 0130 00"),
+        ("IBAN: DE88370400440532013000", "DE88370400440532013000"),
+        ("account number 1234 5678 9012 is his", "1234 5678 9012"),
+        ("SSN 123 45 6789", "123 45 6789"),
+        ("ssn 123-45 6789", "123-45 6789"),
+        ("Passport C01X 00T4 78", "C01X 00T4 78"),
+        ("USER ID: 1234567 2024", "1234567"),
+        ("account no 12345678 items", "12345678"),
+        ("account 12 of 34", None),
+        ("accountant 1234567", None),
+    ],
+)
+def test_grouped_accounts(text, want):
+    got = [text[a:b] for a, b, k in pii.find_spans(text, pii.build_automaton()) if k == "account"]
+    assert got == ([want] if want else [])
+
+
+def test_any_case():
+    t = "İİ HTTPS://X.example/A Ftp://b.example/ ACCT 99887766"
+    assert [(t[a:b], k) for a, b, k in pii.find_spans(t, pii.build_automaton())] == [("HTTPS://X.example/A", "url"), ("Ftp://b.example/", "url"), ("99887766", "account")]
+    assert all(len(pii.lowered(chr(i))) == 1 for i in range(0x110000))
