@@ -13,14 +13,15 @@ skipped. Values are integers (step << 32 | random part).
 5. Buckets that still hold several components: every node outside its cluster's largest component
    meets all nodes of the cluster in blocks of bounded size, on full sets, and only links come out.
    After this no two candidates of different components are untested.
-6. Label propagation over the components' links.
+6. Label propagation over the components' links and those between the sets of a doc_id that has
+   several, a star around its smallest component.
 
 At threshold 0.8 a linked pair is missed by all 32 bands of 4 with probability 5e-8.
 Nothing is collected on the driver; stages are cut by tables in the shared folder.
 
 Behaviour: a document without words (or null) has an empty set and stays alone. Rows that share a
-doc_id count as one document with the links of all its texts; all of a kept document's rows are
-kept. A row without doc_id takes part in nothing: null component, kept. An empty table gives an
+doc_id count as one document with the links of all its texts, those without words included; all of
+a kept document's rows are kept. A row without doc_id takes part in nothing: null component, kept. An empty table gives an
 empty table. Extra columns are ignored by groups().
 """
 
@@ -216,6 +217,20 @@ def block_links(spark: SparkSession, texts: DataFrame, here: DataFrame, p: Param
     return placed.groupBy("block").applyInPandas(run, "a long, b long").distinct()
 
 
+def several_sets(table: DataFrame) -> DataFrame:
+    """doc_id, one, last: the documents whose rows don't all have the same set, with the first and last of their digests."""
+    all_of = table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("last"), F.max(F.col("digest").isNull()).alias("blank"))
+    return all_of.where("one < last OR (blank AND one IS NOT NULL)").select("doc_id", "one", "last")
+
+
+def document_links(table: DataFrame, several: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each document's sets."""
+    own = table.where("digest IS NOT NULL").join(several.where("one < last").select("doc_id"), "doc_id").select("doc_id", "digest").distinct()
+    own = own.join(sets, "digest").join(roots, "id", "left").select("doc_id", F.coalesce("parent", "id").alias("a"))
+    first = own.groupBy("doc_id").agg(F.min("a").alias("b"))
+    return own.join(first, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def groups(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     start(spark)
@@ -233,12 +248,14 @@ def groups(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFr
     placed = materialize(spark, buckets.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("parent", "id").alias("comp")), "placed")
     mixed = materialize(spark, placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("lead")).where("lo < hi").select("key", "lead"), "mixed")
     here = materialize(spark, placed.join(mixed, "key"), "here")
-    merged = components(spark, block_links(spark, texts, here, p))
+    several = materialize(spark, several_sets(table), "several")
+    merged = components(spark, block_links(spark, texts, here, p).union(document_links(table, several, sets, roots)))
 
     labels = sets.join(roots, "id", "left").withColumn("comp", F.coalesce("parent", "id"))
     labels = labels.join(merged.select(F.col("id").alias("comp"), "label"), "comp", "left").select("digest", F.coalesce("label", "comp").alias("component_id"))
     labels = materialize(spark, labels, "components")
-    out = table.select("doc_id", "n", "digest").join(labels, "digest", "left")
+    table = table.select("doc_id", "n", "digest").join(several.select("doc_id", "one"), "doc_id", "left")
+    out = table.select("doc_id", "n", F.coalesce("digest", "one").alias("digest")).join(labels, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -92,3 +92,17 @@ def test_every_slot_is_a_permutation_of_ranks():
 def test_short_sequences_differ():
     s = shingles.shingle_sets(pa.array(["a b", "b a", "a b c d", "", "A  B"]), 4)
     assert s[0].tolist() == s[4].tolist() != s[1].tolist() and len(s[2]) == 1 and len(s[3]) == 0
+
+
+def test_documents_of_several_texts(spark):
+    """A doc_id that holds several texts links them all, far apart as they may be."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(3, b), (7, a), (7, b), (9, a), (9, c), (11, c), (11, None), (12, ""), (12, None), (13, "alone in here with some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(spark, df).collect())
+    assert got == sorted((d, 3 if d < 12 else d, d in (3, 12, 13)) for d, _ in rows)
+    assert sorted(r["doc_id"] for r in neardup.keep_first(spark, df).collect()) == [3, 12, 12, 13]
+    texts = [(i % 90, t) for i, (_, t) in enumerate(corpus(5, 160))]
+    want = brute(texts, 4)
+    got = neardup.groups(spark, spark.createDataFrame(texts, "doc_id long, text string"), Params(words=4)).collect()
+    assert all((r["component_id"], r["kept"]) == (want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"]) for r in got)
