@@ -1,6 +1,6 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-Templates are short licence wordings. An aggregate over all documents gives each template word's
+Templates are short licence wordings. An aggregate over all documents gives each key word's
 document frequency; the index posts every template under its rarest (highest-IDF) word with that
 word's place in the template. A file's licence words are looked up in the index, each hit proposes
 where the template would start, and the words at the template's other places are compared with the
@@ -66,8 +66,11 @@ TEMPLATES = (
 )
 
 
-def document_frequencies(texts: DataFrame, words: list[str]) -> dict[str, int]:
-    """How many documents hold each template word, as one row of sums; only a file with a word in question is searched for it."""
+def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
+    """How many of all documents hold each template word, as one row of sums: one pass over each text for all words."""
+    other = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    whole = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(rf"(?i)(?<={other}|\A)(?:{'|'.join(words)})(?={other}|\z)"), F.lit(0))
+    texts = docs.select(F.array_distinct(F.transform(whole, lambda w: F.translate(w, UPPER, LOWER))).alias("words"))
     row = texts.agg(*[F.sum(F.array_contains("words", w).cast("long")).alias(f"w{i}") for i, w in enumerate(words)]).first()
     return {w: row[i] or 0 for i, w in enumerate(words)}
 
@@ -101,7 +104,7 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     d = _with_words(docs)
     vocabulary = sorted({w for t in TEMPLATES for w in key_words(t)})
-    df = document_frequencies(d, vocabulary)
+    df = document_frequencies(docs, vocabulary)
     # The index: rarest key word -> templates with that word's place.
     index: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(TEMPLATES):

@@ -51,3 +51,14 @@ def test_random(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(spark, df).count() == 0
+
+
+def test_frequencies_cover_all_files(spark):
+    """Files that can match no template count too, by whole words in any case."""
+    texts = ["General by", "by-the-by", "generally bye", "é general", "égeneral 2general general2", "GENERAL\n", "mozilla public license", "general public license", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = sorted({w for t in licenses.TEMPLATES for w in licenses.key_words(t)})
+    got = licenses.document_frequencies(df, words)
+    split = [{w.lower() for w in re.findall(licenses.ANY_WORD, t or "")} for t in texts]
+    assert got == {w: sum(w in s for s in split) for w in words}
+    assert (got["general"], got["by"], got["public"]) == (4, 2, 2)
