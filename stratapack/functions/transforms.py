@@ -104,12 +104,22 @@ def _lanes(data: bytes, kind: str) -> tuple[np.ndarray, bytes]:
 
 
 def _arm64(data: bytes, sign: int) -> bytes:
-    """BL targets (26-bit words) and, within 512 MiB, ADRP pages between relative and absolute."""
+    """BL targets (26-bit words) and, within 512 MiB, ADRP pages between relative and absolute.
+
+    Converted pages are written sign-extended from 2^17, so the range check picks the same words in both
+    directions.
+    """
     x, tail = _lanes(data, "<u4")
     pc = np.arange(len(x), dtype=np.int64)
     call = (x >> np.uint64(26)) == 0x25
     moved = (x.astype(np.int64) + sign * pc) & 0x3FFFFFF
-    x = np.where(call, np.uint64(0x94000000) | moved.astype(np.uint64), x)
+    word = x.astype(np.int64)
+    page = (word >> 5 & 0x7FFFF) << 2 | word >> 29 & 3  # 21 bits
+    near = (word & 0x9F000000 == 0x90000000) & ((page + 0x20000 & 0x1FFFFF) < 0x40000)
+    there = page + sign * (pc >> 10) & 0x3FFFF
+    there = (there ^ 0x20000) - 0x20000 & 0x1FFFFF
+    adrp = word & 0x9F00001F | (there & 3) << 29 | there >> 2 << 5
+    x = np.where(call, 0x94000000 | moved, np.where(near, adrp, word))
     return x.astype("<u4").tobytes() + tail
 
 

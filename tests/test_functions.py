@@ -136,3 +136,31 @@ def test_scalars(spark):
     d = spark.createDataFrame([("noise\nBENCHMARK_SKIP: why", "", 1_500_000)], "e string, o string, n long")
     r = d.select(classify.skip_reason(F.col("e"), F.col("o")).alias("skip"), classify.dictionary_size(F.col("n")).alias("d"), hashing.megabytes(F.col("n")).alias("mb"), hashing.expand_command(F.lit("x {input} {output}"), {"input": F.lit("a"), "output": F.lit("b")}).alias("c")).first()
     assert (r["skip"], r["d"], r["mb"], r["c"]) == ("why", 2 << 20, 1.5, "x a b")
+
+
+def test_arm64_adrp():
+    """ADRP of one page from several places becomes one word within 512 MiB; pages farther off stay."""
+
+    def adrp(page, register=3):
+        return 0x90000000 | (page & 3) << 29 | (page >> 2 & 0x7FFFF) << 5 | register
+
+    rng = np.random.default_rng(1)
+    n = 6000  # 24 KB: six pages
+    words = np.full(n, 0xD503201F, np.uint32)
+    places = [0, 1023, 1024, 2500, 5999]
+    for page in (0, 5, 0x1FFF0, -0x1F000):
+        for at in places:
+            words[at] = adrp(page - (at >> 10))
+        out, recipe = T.TRANSFORMS["branch_arm64"][0](words.tobytes())
+        got = np.frombuffer(out, np.uint32)
+        assert {int(got[at]) for at in places} == {adrp(page)}
+        assert (np.delete(got, places) == 0xD503201F).all()
+        assert T.TRANSFORMS["branch_arm64"][1](out, recipe) == words.tobytes()
+    for page in (0x20000, -0x20001, 0xFFFFF):
+        words[places] = adrp(page)
+        assert T.TRANSFORMS["branch_arm64"][0](words.tobytes())[0] == words.tobytes()
+    edge = np.array([adrp(0x1FFFF)] * n, np.uint32).tobytes()  # wraps and comes back
+    noise = (rng.integers(0, 1 << 32, n, dtype=np.uint32) & 0x6FFFFFFF | 0x90000000).astype(np.uint32).tobytes()
+    for data in (edge, noise, noise[:-3]):
+        out, recipe = T.TRANSFORMS["branch_arm64"][0](data)
+        assert out != data and T.TRANSFORMS["branch_arm64"][1](out, recipe) == data
