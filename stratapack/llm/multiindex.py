@@ -13,7 +13,9 @@ reach it, and each query looks at its own cells there. Only the codebooks and on
 
 Behaviour: vectors that are null, empty, zero, of another length than the most common, or hold null
 or non-finite components take no part, nor do rows without an id. A row repeated under one id is
-listed once per row, except as its own neighbour: candidates of the query's own id are left out.
+listed once per row, except as its own neighbour: candidates of the query's own id are left out. A
+query row repeated with the same vector is searched once. Different vectors under one query id are
+searched each, and the id's list holds the best of all: a neighbour of several is listed for each.
 Ties go to the smaller id. An empty table gives an empty table. Extra columns are ignored.
 """
 
@@ -137,7 +139,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id
             yield pd.DataFrame({"vec_id": b["vec_id"], "vector": b["vector"], "cell": c, "bin": bins[first[c] + b["key"].to_numpy() % chunks[c]]})
 
     entries = indexed.withColumn("key", F.pmod(key, F.lit(1 << 40))).mapInPandas(place, "vec_id long, vector array<double>, cell int, bin long")
-    queries = vectors.where(is_query(F.col("vec_id"))).mapInPandas(probe, "query_id long, vector array<double>, cells binary, bin long")
+    queries = vectors.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "vector"]).mapInPandas(probe, "query_id long, vector array<double>, cells binary, bin long")
     k = p.k
 
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

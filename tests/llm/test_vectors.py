@@ -80,3 +80,14 @@ def test_empty(spark):
         assert search(spark, spark.createDataFrame([], EMPTY), lambda i: i % 100 == 0).count() == 0
         few = search(spark, spark.createDataFrame([(0, [1.0, 2.0], "q"), (5, [2.0, 1.0], "q")], EMPTY), lambda i: i % 100 == 0).collect()
         assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 5)]
+
+
+def test_multiindex_repeated_query(spark):
+    """A query row that comes three times has ten different neighbours, each listed once."""
+    x = clusters(600)
+    p = multiindex.Params(least=600, chunk_rows=64)
+    again = [(100, [float(v) for v in x[100]], "q")] * 2
+    got = multiindex.search(spark, frame(spark, x, again), lambda i: i % 100 == 0, p=p).toPandas()
+    s = np.sqrt(((x.astype(float) - x[100]) ** 2).sum(1))
+    want = [i for i in np.lexsort((np.arange(600), s)) if i != 100][:10]
+    assert list(got[got.query_id == 100].sort_values("rank").vec_id) == want
