@@ -91,3 +91,19 @@ def test_multiindex_repeated_query(spark):
     s = np.sqrt(((x.astype(float) - x[100]) ** 2).sum(1))
     want = [i for i in np.lexsort((np.arange(600), s)) if i != 100][:10]
     assert list(got[got.query_id == 100].sort_values("rank").vec_id) == want
+
+
+def test_multiindex_recall_of_the_defaults(spark):
+    """Params() on more rows than `least`: unit vectors of nearly uniform noise around ten centres, members at 1.25."""
+    rng = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    n, p = 6000, multiindex.Params()
+    x = unit(0.47 * unit(rng.normal(size=(10, 64)))[rng.integers(0, 10, n)] + 0.88 * unit(rng.normal(size=(n, 64)))).astype(np.float32).astype(float)
+    assert p.least < p.share * n < n
+    got = multiindex.search(spark, frame(spark, x), lambda i: i % 100 == 0).toPandas()
+    hit = 0
+    for q in range(0, n, 100):
+        s = ((x - x[q]) ** 2).sum(1)
+        s[q] = np.inf
+        hit += len(set(np.argsort(s, kind="stable")[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit >= 0.9 * n // 10
