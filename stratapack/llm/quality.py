@@ -1,19 +1,22 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word between white space, its byte n-grams (with its boundaries), and a mark for a word that
-repeats the one before are hashed to rows of an embedding table. A document is the average of its
-rows, a softmax layer gives the class, and numpy stochastic gradient descent learns both. As the
-layer after the average is linear, scoring folds table and layer into one number per hash row, so a
-document's logit is a mean over its features, taken over the whole text.
+Every word between white space, its character n-grams (with its boundaries), and each pair of
+neighbouring words are hashed to rows of an embedding table. Pairs have two rows: that of the very
+pair, and that of the pair of their classes, where words fall into `classes` classes by hash, so that a
+pair never met in training still has a learnt row. A document is the average of its rows, a softmax
+layer gives the class, and numpy stochastic gradient descent learns both; no feature is made to mark
+either class. As the layer after the average is linear, scoring folds table and layer into one number
+per hash row, so a document's logit is a mean over its features, taken over the whole text.
 
 Fitting uses a bounded sample of the labelled rows (max_train_docs documents of at most
 max_doc_bytes each, the first by a seeded hash of doc_id), never the held-out quarter. The rest of
 the work covers every row.
 
-Behaviour: a null or empty text has no features and scores the softmax of the bias alone; a label
-that is null is left out; a document labelled more than once takes its lowest label; repeated rows
-repeat their score; with no labels at all (or labels of one class only) the score is that class's
-share, 0.5 without any; an empty table gives an empty table. Extra columns are ignored.
+Behaviour: a null or empty text has no features and scores the softmax of the bias alone; a very long
+text is scored whole, by one worker; a label that is null is left out; a document labelled more than
+once takes its lowest label; repeated rows repeat their score; with no labels at all (or labels of one
+class only) the score is that class's share, 0.5 without any; an empty table gives an empty table.
+Extra columns are ignored by score_documents() and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ from pyspark.sql import functions as F
 from stratapack.llm.common import ascii_words, mix64, row_bounds, slices, start, strings, text_or_empty
 
 THRESHOLD = 0.7
-#: A repeated word's mark counts as this many features, about half of what the word itself has.
-REPEAT = 6
 #: Bytes of text scored at once: the features of its distinct words take some thirty times as much.
 SLICE = 2 << 20
 
@@ -39,9 +40,10 @@ SLICE = 2 << 20
 @dataclass(frozen=True)
 class Params:
     buckets: int = 1 << 17
+    classes: int = 32
     dim: int = 8
-    grams: tuple[int, ...] = (2, 3, 4)
-    epochs: int = 6
+    grams: tuple[int, ...] = (3,)
+    epochs: int = 4
     #: Few documents are gone over more often, up to this many steps.
     least_steps: int = 6000
     rate: float = 0.5
@@ -50,23 +52,32 @@ class Params:
     max_doc_bytes: int = 32_768
 
 
-def word_features(words: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Hash rows of each distinct word's features, and the word each belongs to."""
-    lens = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    n = len(lens)
-    data = np.frombuffer(pa.concat_arrays([words]).buffers()[2] or b"", np.uint8)[: lens.sum()]
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def code_points(words: pa.Array) -> np.ndarray:
+    """The words' characters, one after the other."""
+    data = pa.concat_arrays([words]).buffers()[2]
+    size = int(pc.sum(pc.binary_length(words)).as_py() or 0)
+    return np.frombuffer(data[:size].to_pybytes().decode().encode("utf-32-le"), np.uint32) if size else np.zeros(0, np.uint32)
+
+
+def word_features(words: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash rows of each distinct word's own features, the word each belongs to, and the words' whole hashes."""
+    lens = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, points = len(lens), code_points(words).astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
     owner = np.repeat(np.arange(n), lens)
-    rel = np.arange(len(data)) - starts[owner]
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(lens.max(initial=0)) + 1, 1099511628211, np.uint64))
-        whole = np.add.reduceat((data + np.uint64(1)) * power[rel], starts) if n else np.zeros(0, np.uint64)
-        rows, owners = [mix64(whole)], [np.arange(n)]
-        # Words side by side with one boundary byte between; a gram may touch a boundary at its ends only.
-        padded = np.full(len(data) + n + 1, 32, np.uint64)
-        padded[np.arange(len(data)) + owner + 1] = data
-        of = np.searchsorted(starts + np.arange(n) + 1, np.arange(len(padded)), side="right") - 1
-        edge = padded == 32
+        whole = np.add.reduceat((points + np.uint64(1)) * power[np.arange(len(points)) - starts[owner]], starts) if n else np.zeros(0, np.uint64)
+        whole = mix64(whole)
+        rows, owners = [whole], [np.arange(n)]
+        # Words side by side, 0 between them and at both ends; a gram may touch a 0 at its ends only.
+        padded = np.zeros(len(points) + n + 1, np.uint64)
+        padded[np.arange(len(points)) + owner + 1] = points
+        edge = padded == 0
+        of = np.cumsum(edge) - 1  # the word at a place, of a 0 the next word
         for k in p.grams:
             m = len(padded) - k + 1
             if m <= 0:
@@ -77,11 +88,24 @@ def word_features(words: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
                 h = h * np.uint64(1000003) + padded[j : j + m]
                 if 0 < j < k - 1:
                     inner &= ~edge[j : j + m]
-            at = np.flatnonzero(inner if k > 2 else ~(edge[:-1] & edge[1:]))
+            at = np.flatnonzero(inner & ~(edge[:m] & edge[1 : m + 1]))
             rows.append(mix64(h[at]))
-            owners.append(of[at + 1] if k > 2 else np.maximum(of[at], of[at + 1] * ~edge[at + 1]))
-    hashed = np.concatenate(rows) % np.uint64(p.buckets - 1) + np.uint64(1)  # row 0 is the repetition mark
-    return hashed.astype(np.int64), np.concatenate(owners)
+            owners.append(of[at])
+    return _rows(np.concatenate(rows), p), np.concatenate(owners), whole
+
+
+def _rows(hashes: np.ndarray, p: Params) -> np.ndarray:
+    """Rows of the table behind those of the class pairs."""
+    return (hashes % np.uint64(p.buckets) + np.uint64(p.classes**2)).astype(np.int64)
+
+
+def pair_features(rows: np.ndarray, hashes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(2, pairs) hash rows of each pair of neighbouring words of a text, and the place of each pair's second word."""
+    at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+    with np.errstate(over="ignore"):
+        whole = mix64(hashes[at - 1] * GOLDEN + hashes[at])
+    classes = (hashes >> np.uint64(40)) % np.uint64(p.classes)
+    return np.stack([_rows(whole, p), (classes[at - 1] * np.uint64(p.classes) + classes[at]).astype(np.int64)]), at
 
 
 @dataclass(frozen=True)
@@ -95,59 +119,56 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         n = len(texts)
         rows, words, index = ascii_words(texts)
-        hashed, owner = word_features(words, self.params)
-        u = len(words)
-        sums = np.bincount(owner, weights=self.weights[hashed], minlength=u)
-        counts = np.bincount(owner, minlength=u)
-        again = _repeats(rows, index)
-        at = row_bounds(rows, n)
-        total = np.concatenate([[0.0], np.cumsum(sums[index] + again * self.weights[0])])
-        size = np.concatenate([[0], np.cumsum(counts[index] + again)])
-        total, size = np.diff(total[at]), np.diff(size[at])
+        own, owner, hashes = word_features(words, self.params)
+        sums = np.bincount(owner, weights=self.weights[own], minlength=len(words)).astype(float)[index]
+        counts = np.bincount(owner, minlength=len(words))[index]
+        pairs, at = pair_features(rows, hashes[index], self.params)
+        sums[at] += self.weights[pairs].sum(0)
+        counts[at] += 2
+        ends = row_bounds(rows, n)
+        total, size = np.diff(np.concatenate([[0.0], np.cumsum(sums)])[ends]), np.diff(np.concatenate([[0], np.cumsum(counts)])[ends])
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + self.bias, -60, 60)))
 
 
-def _repeats(rows: np.ndarray, index: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.int64)
-    out[1:] = (rows[1:] == rows[:-1]) & (index[1:] == index[:-1])
-    return out * REPEAT
+def document_features(texts: list[str], p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's hash rows and their shares of its features."""
+    out = []
+    for i in range(0, len(texts), 256):
+        part = pa.array(texts[i : i + 256], pa.string())
+        rows, words, index = ascii_words(part)
+        own, owner, hashes = word_features(words, p)
+        order = np.argsort(owner, kind="stable")
+        own, at = own[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+        pairs, second = pair_features(rows, hashes[index], p)
+        ends = row_bounds(rows, len(part))
+        for d in range(len(part)):
+            kinds, times = np.unique(index[ends[d] : ends[d + 1]], return_counts=True)
+            mine = pairs[:, np.searchsorted(second, ends[d]) : np.searchsorted(second, ends[d + 1])].ravel()
+            ids = np.concatenate([*[own[at[k] : at[k + 1]] for k in kinds], mine])
+            w = np.concatenate([np.repeat(times, at[kinds + 1] - at[kinds]), np.ones(len(mine))])
+            ids, back = np.unique(ids.astype(np.int64), return_inverse=True)
+            w = np.bincount(back, weights=w, minlength=len(ids))
+            out.append((ids.astype(np.int32), (w / max(w.sum(), 1)).astype(np.float32)))
+    return out
 
 
 def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     """Stochastic gradient descent over averaged feature vectors and a two-class softmax."""
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.5
+    size = p.buckets + p.classes**2
     if len(set(labels)) < 2:
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(p, np.zeros(p.buckets), float(np.log(share / (1 - share))))
-    feats = []
-    for i in range(0, len(texts), 256):
-        part = pa.array(texts[i : i + 256], pa.string())
-        rows, words, index = ascii_words(part)
-        hashed, owner = word_features(words, p)
-        order = np.argsort(owner, kind="stable")
-        hashed, at = hashed[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-        again, ends = _repeats(rows, index), row_bounds(rows, len(part))
-        for d in range(len(part)):
-            mine = index[ends[d] : ends[d + 1]]
-            kinds, times = np.unique(mine, return_counts=True)
-            ids = np.concatenate([hashed[at[k] : at[k + 1]] for k in kinds] or [np.zeros(0, np.int64)])
-            w = np.repeat(times, at[kinds + 1] - at[kinds]).astype(float)
-            twice = again[ends[d] : ends[d + 1]].sum()
-            if twice:
-                ids, w = np.append(ids, 0), np.append(w, twice)
-            ids, back = np.unique(ids, return_inverse=True)
-            w = np.bincount(back, weights=w, minlength=len(ids))
-            feats.append((ids.astype(np.int32), (w / max(w.sum(), 1)).astype(np.float32)))
+        return Model(p, np.zeros(size), float(np.log(share / (1 - share))) if len(y) else 0.0)
+    feats = document_features(texts, p)
     rng = np.random.default_rng(p.seed)
-    table = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
+    table = rng.uniform(-1 / p.dim, 1 / p.dim, (size, p.dim)).astype(np.float32)
     layer = np.zeros((p.dim, 2), np.float32)
-    bias = np.log([1 - share, share]).astype(np.float32)
+    bias = np.zeros(2, np.float32)
     epochs = max(p.epochs, -(-p.least_steps // len(y)))
     step, steps = 0, epochs * len(y)
-    # Each class weighs the same in sum, so the rarer one is learnt as well; the bias keeps the prior.
+    # Each class weighs the same in sum, so the rarer one is learnt as well; scores are as of an even prior.
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    bias[:] = 0
     for _ in range(epochs):
         for d in rng.permutation(len(y)):
             rate = p.rate * (1 - step / steps)
