@@ -7,15 +7,20 @@ tail whose bounds add up to less than the current k-th score: a row that is in n
 can't reach it. Rows of essential postings are scored on the essential terms, then the other terms
 are probed in falling order of bound, and a row is dropped once its score plus the bounds still to
 come stays under the k-th. The first k-th score comes from the rows with the largest contributions to
-the query's strongest terms. Everything is integer arithmetic, exact while |score| is below 2^53.
+the query's strongest terms. Everything is integer arithmetic in doubles where a query's bound for its
+shard is below 2^53, so that no sum can round. Beyond that no row is dropped early, and rows whose own
+bound is that large are scored in whole numbers of any size. A score beyond 64 bits counts as the
+nearest 64-bit number, in ranks as well.
 
 Rows are dealt to shards and queries to blocks by hash; a task scores one shard with one block, both
 of bounded size, and every pair of them meets once. The shards' best are merged per query.
 
 Behaviour: vectors that are null, empty, of another length than the most common, or hold null or
 non-finite components take no part, nor do rows without an id; zero vectors do. Candidates of the
-query's own id are left out; a row repeated under one id is listed once per row. Ties go to the
-smaller id. An empty table gives an empty table. Extra columns are ignored.
+query's own id are left out; a row repeated under one id is listed once per row. A query row repeated
+with the same vector is searched once; different vectors under one query id are searched each, and the
+id's list holds the best of all. Ties go to the smaller id. An empty table gives an empty table. Extra
+columns are ignored. Vectors of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -63,6 +68,10 @@ class Shard:
 
     def search(self, qid: int, q: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best rows and their scores."""
+        with np.errstate(over="ignore"):
+            bound = np.abs(q) * np.maximum(np.abs(self.low), np.abs(self.high))
+        if bound.sum() >= EXACT:
+            return self.search_large(qid, q, k)
         n = len(self.ids)
         bound = np.maximum(np.maximum(q * self.low, q * self.high), 0)
         terms = np.argsort(-bound, kind="stable")
@@ -95,9 +104,32 @@ class Shard:
             if not alive.all():
                 rows, score = rows[alive], score[alive]
         near = best(self.ids[rows], -score, k)
+        return rows[near], score[near].astype(np.int64)
+
+    def search_large(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same where sums may not fit a double: every row is scored, large ones in whole numbers."""
+        rows = np.flatnonzero(self.ids != qid)
+        with np.errstate(over="ignore"):
+            large = np.abs(self.x[rows]) @ np.abs(q) >= EXACT
+        score = np.zeros(len(rows), np.int64)
+        score[~large] = self.x[rows[~large]] @ q
+        whole = [int(v) for v in q]
+        score[large] = [max(-MOST - 1, min(MOST, sum(int(a) * b for a, b in zip(self.x[r], whole, strict=True)))) for r in rows[large]]
+        near = np.lexsort((self.ids[rows], ~score))[:k]  # ~score falls as score rises, without overflow
         return rows[near], score[near]
 
 
+#: Half of 2^53: sums of whole numbers below it are exact in doubles, and rounding can't hide one that isn't.
+EXACT = float(1 << 52)
+MOST = (1 << 63) - 1
+
+
+def quantised(column: pd.Series, d: int, scale: float) -> np.ndarray:
+    """Whole numbers as doubles, finite even where a component times scale is not."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(matrix(column, d) * scale))
+
+
 def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params()) -> DataFrame:
     """The p.k highest scores of each query row: query_id, rank, vec_id, score (integer inner product)."""
     start(spark)
@@ -106,7 +138,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = vectors.where(F.size("vector") == d)
-    asked = vectors.where(is_query(F.col("vec_id")))
+    asked = vectors.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "vector"])
     shards = max(-(-n // p.shard_rows), min(p.spread, -(-n // p.least_rows)))
     blocks = max(1, -(-asked.count() // p.block_rows))
     scale, k, step = p.scale, p.k, p.step
@@ -118,8 +150,8 @@ def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id
     def score(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(e) and len(q):
-            shard = Shard(e["vec_id"].to_numpy(), np.floor(matrix(e["vector"], d) * scale))
-            for qid, v in zip(q["vec_id"], np.floor(matrix(q["vector"], d) * scale), strict=True):
+            shard = Shard(e["vec_id"].to_numpy(), quantised(e["vector"], d, scale))
+            for qid, v in zip(q["vec_id"], quantised(q["vector"], d, scale), strict=True):
                 near, s = shard.search(qid, v, k, step)
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": shard.ids[near], "score": s.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})

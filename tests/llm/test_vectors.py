@@ -96,6 +96,23 @@ def test_multiindex_repeated_query(spark):
     assert list(got[got.query_id == 100].sort_values("rank").vec_id) == want
 
 
+def test_maxscore_repeated_query_and_large_components(spark):
+    """A query row that comes three times counts once; sums past 2^53 are exact, past 64 bits the nearest number."""
+    x = clusters(300)
+    big = {7: 1e4, 8: -1e4, 9: 3e6, 10: 1e10, 11: 1e305}
+    rows = [(i, [float(v) * big.get(i, 1) for v in x[i].astype(float)], "q") for i in range(300)]
+    rows += [(100, rows[100][1], "q")] * 2 + [(200, [v * 3e6 for v in rows[200][1]], "q")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    p = maxscore.Params(least_rows=50, spread=5, block_rows=3)
+    got = maxscore.search(spark, d, lambda i: i % 100 == 0, p=p).toPandas()
+    whole = [(i, [int(np.nan_to_num(np.floor(v * 1024))) for v in r]) for i, r, _ in rows]
+    for q in (0, 100, 200):
+        asked = {tuple(r) for i, r in whole if i == q}
+        found = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(r, v)))), i) for v in asked for i, r in whole if i != q]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert [(-s, i) for s, i in zip(mine.score.tolist(), mine.vec_id)] == sorted(found)[:10]
+
+
 def recall(spark, x, ids=None):
     """Share of the true ten nearest that the shipped parameters find, and the largest share of rows a walk passes."""
     ids = np.arange(len(x)) if ids is None else ids
