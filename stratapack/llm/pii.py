@@ -8,17 +8,20 @@ case. A deterministic local parser per anchor then expands to the boundaries and
 * ip, card, phone: the run of digits and their separators around a digit or plus, cut by each kind's
   own grammar, then part range, Luhn sum or digit count;
 * url: from a scheme over the address's characters, without closing punctuation;
-* account: from a cue over a short separator. An IBAN, in one token or in groups, is told by its
-  country's length and the mod-97 sum and ends where they say. Else it is the next token of letters
-  and digits with a digit, or the groups of 2 to 6 characters printed with single spaces or hyphens
-  between them, whichever is longer; groups of letters alone end it. An IBAN with a wrong sum is still
-  an account: mistyped numbers are personal too. IBANs without a cue aren't looked for.
+* account: from a cue over separators; the cue says what is valid. After "iban" and "account" an IBAN, in
+  one token or in groups, is told by its country's length and the mod-97 sum and ends where they say;
+  after "iban" nothing else is valid. "ssn": nine digits, whole or in groups of 3, 2 and 4, without the
+  numbers that are never given out. "passport": six to ten letters and digits (the tenth its check digit) with three digits or
+  more. "account", "acct" and "user id": a token of letters, digits and hyphens, or the groups of 2 to 6
+  characters printed with single spaces or hyphens between them, whichever is longer, of five
+  characters or more (three for a user id) with a digit, not all the same. Groups of letters alone end
+  it. Numbers without a cue aren't looked for.
 
 Base kinds are email, ip, card and phone; url and account are this method's own and never change
 the base spans. Spans are in code points, end exclusive.
 
 Behaviour: null text counts as empty and has no spans; a text of any length is processed whole in
-one pass; rows are independent, so repeated rows repeat their result; an empty table gives an empty
+one pass, in time that grows with its length, whatever it holds; rows are independent, so repeated rows repeat their result; an empty table gives an empty
 table; extra columns are ignored by find() and kept by redact().
 """
 
@@ -55,13 +58,15 @@ IBAN_SIZES = {
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMERIC = re.compile(r"[0-9.()+\x20-]+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+DIGITS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-SEPARATOR = re.compile(r"[\x20:#=.]{1,4}(?:(?:no|number)[\x20:#=.]{1,3})?", re.IGNORECASE)
-TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{4,33}(?![A-Za-z0-9-])")
-GROUPS = re.compile(r"(?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?:[\x20-](?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?![A-Za-z0-9])){1,8}")
+SEPARATOR = re.compile(r"[\x20:#=.]+(?:(?:no|number)[\x20:#=.]+)?", re.IGNORECASE)
+TOKEN = re.compile(r"[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*(?!-*[A-Za-z0-9])")
+GROUPS = re.compile(r"(?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?:[\x20-](?=[A-Za-z]{0,5}[0-9])[A-Za-z0-9]{2,6}(?![A-Za-z0-9]))+")
+#: Nine digits, whole or 3-2-4: no area 000, 666 or 9xx, no group 00, no serial 0000.
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}[\x20-]?(?!00)[0-9]{2}[\x20-]?(?!0000)[0-9]{4}(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9])+")
 
 
@@ -96,19 +101,37 @@ def iban_end(text: str, at: int) -> int:
     return end if int("".join([str(int(c, 36)) for c in number])) % 97 == 1 else 0
 
 
-def account_span(text: str, at: int) -> tuple[int, int] | None:
-    """The account number after a cue that ends here."""
+def number_end(text: str, at: int, least: int) -> int:
+    """Where the number of letters and digits that begins here ends, in one token or in groups; 0 if there is none."""
+    one, many = TOKEN.match(text, at), GROUPS.match(text, at)
+    ends = [one.end()] if one else []
+    if many and sum(c not in " -" for c in many.group()) >= 6:
+        ends.append(many.end())
+    for end in sorted(ends, reverse=True):
+        held = [c for c in text[at:end] if c not in " -"]
+        if len(held) >= least and any("0" <= c <= "9" for c in held) and len(set(held)) > 1:
+            return end
+    return 0
+
+
+def account_span(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The valid number of its cue's kind after a cue that ends here."""
     m = SEPARATOR.match(text, at)
     if m is None:
         return None
-    begin = m.end()
-    if end := iban_end(text, begin):
-        return begin, end
-    one, many = TOKEN.match(text, begin), GROUPS.match(text, begin)
-    ends = [one.end()] if one and any("0" <= c <= "9" for c in one.group()) else []
-    if many and sum(c not in " -" for c in many.group()) >= 6:
-        ends.append(many.end())
-    return (begin, max(ends)) if ends else None
+    begin, end = m.end(), 0
+    if cue in ("iban", "account", "acct"):
+        end = iban_end(text, begin)
+    if cue == "ssn":
+        found = SSN.match(text, begin)
+        end = found.end() if found else 0
+    elif cue == "passport":
+        end = number_end(text, begin, 6)
+        held = [c for c in text[begin:end] if c not in " -"]
+        end = end if len(held) <= 10 and sum("0" <= c <= "9" for c in held) >= 3 else 0
+    elif cue != "iban" and not end:
+        end = number_end(text, begin, 3 if cue == "user id" else 5)
+    return (begin, end) if end else None
 
 
 def lowered(text: str) -> str:
@@ -118,7 +141,7 @@ def lowered(text: str) -> str:
 
 def build_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for k, kind in [("@", "@"), ("+", "n"), *((str(i), "n") for i in range(10)), *((s, "url") for s in SCHEMES), *((c, "cue") for c in CUES)]:
+    for k, kind in [("@", "@"), ("+", "n"), *((str(i), "n") for i in range(10)), *((s, "url") for s in SCHEMES), *((c, c) for c in CUES)]:
         a.add_word(k, (kind, len(k)))
     a.make_automaton()
     return a
@@ -127,9 +150,14 @@ def build_automaton() -> ahocorasick.Automaton:
 def numeric_spans(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
     """ip, card and phone within a run that holds all their characters: none can cross its ends."""
     out = []
-    for m in IP.finditer(text, a, b):
-        if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in m.group().split(".")):
-            out.append((m.start(), m.end(), "ip"))
+    for m in DIGITS.finditer(text, a, b):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):  # leftmost matches take the parts of a dotted run in fours
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
+                out.append((at, end, "ip"))
+            at = end + 1
     for m in CARD.finditer(text, a, b):
         d = digits_of(m.group())
         if 14 <= len(d) <= 19 and luhn(d):
@@ -164,7 +192,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, i
                 urls = end + 1 + len(m.group().rstrip(".,;:!?'\")]"))
                 if urls > end + 1:
                     out.append((at, urls, "url"))
-        elif at >= accounts and (not at or not text[at - 1].isalnum()) and (found := account_span(text, end + 1)):
+        elif at >= accounts and (not at or not text[at - 1].isalnum()) and (found := account_span(text, end + 1, kind)):
             accounts = found[1]
             out.append((*found, "account"))
     if len(out) > 1:
