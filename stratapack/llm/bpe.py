@@ -7,8 +7,10 @@ its left neighbour isn't compatible. A bit per position marks dead ends, so each
 the work stays linear in the word. Compatibility of a pair is settled by undoing both tokens' last
 merges in order of rank and kept in a table. Decoding slices an offset table over one blob of tokens.
 
-Behaviour: null and empty texts give no tokens; a text of any length is processed whole; rows are
-independent, so repeated rows repeat their result, and an empty table gives an empty table.
+Behaviour: null and empty texts give no tokens; a text of any length is processed whole, a long one in
+parts of about PART bytes cut at a space, which no token or normalisation crosses, so memory follows
+PART (or the longest run without a space) and the ids; rows are independent, so repeated rows repeat
+their result, and an empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from stratapack.llm.common import ragged, slices, start, strings
 PAIRS = 2_000_000
 #: Backtracked words a worker remembers; a full cache is emptied likewise.
 WORDS = 500_000
+#: Bytes of text encoded at once.
+PART = 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -344,6 +348,19 @@ def encode_texts(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return out, ends
 
 
+def parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts as they are, or the parts of a single long one, cut at spaces."""
+    if len(texts) != 1 or len(texts[0].as_buffer()) <= PART:
+        yield texts
+        return
+    whole, at = texts[0].as_buffer().to_pybytes(), 0
+    while at < len(whole):
+        cut = whole.find(b" ", at + PART)
+        to = len(whole) if cut < 0 else cut
+        yield pa.array([whole[at:to].decode()], pa.string())
+        at = to
+
+
 def digests(path: str, ids_out: bool = False):
     """A mapInArrow function: doc_id, text to the digest columns, and ids if asked."""
 
@@ -351,15 +368,26 @@ def digests(path: str, ids_out: bool = False):
         bpe = load(path)
         names = pa.array(bpe.names, pa.string())
         numbers = pa.array([str(i) for i in range(len(bpe.names))], pa.string())
-        for b in slices(batches, "text", 6 << 20):
-            ids, ends = encode_texts(bpe, strings(b.column("text")))
-            at = pa.array(ends.astype(np.int32))
-            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(ends).astype(np.int64))}
-            for name, table in (("ids_sha256", numbers), ("decoded_sha256", names)):
-                joined = pc.binary_join(pa.ListArray.from_arrays(at, table.take(pa.array(ids))), " ")
-                cols[name] = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
+        for b in slices(batches, "text", PART):
+            cols = {"doc_id": b.column("doc_id")}
+            found, sizes = [[hashlib.sha256() for _ in range(b.num_rows)] for _ in range(2)], np.zeros(b.num_rows, np.int64)
+            kept = []
+            for part in parts(strings(b.column("text"))):
+                ids, ends = encode_texts(bpe, part)
+                at = pa.array(ends.astype(np.int32))
+                for digest, table in zip(found, (numbers, names), strict=True):
+                    joined = pc.binary_join(pa.ListArray.from_arrays(at, table.take(pa.array(ids))), " ")
+                    for i, x in enumerate(joined):
+                        if sizes[i] and ends[i + 1] > ends[i]:
+                            digest[i].update(b" ")
+                        digest[i].update(x.as_buffer())
+                sizes += np.diff(ends)
+                kept.append(ids)
+            cols["n_tokens"] = pa.array(sizes)
+            for name, digest in zip(("ids_sha256", "decoded_sha256"), found, strict=True):
+                cols[name] = pa.array([x.hexdigest() for x in digest], pa.string())
             if ids_out:
-                cols["ids"] = pa.ListArray.from_arrays(at, pa.array(ids))
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(kept)))
             yield pa.RecordBatch.from_pydict(cols)
 
     return run

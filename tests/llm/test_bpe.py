@@ -53,3 +53,17 @@ def test_frame(spark):
     one = (1, len(e.ids), sha(" ".join(map(str, e.ids))), sha("hello</w> there</w>"))
     assert got == {one, (2, 0, sha(""), sha("")), (None, 0, sha(""), sha(""))}
     assert bpe.encode_documents(spark, df.limit(0), PATH).count() == 0
+
+
+def test_long_text_in_parts(spark, monkeypatch):
+    """A text cut at spaces has the digests of the whole, special tokens, runs of spaces and a long word included."""
+    rng = random.Random(3)
+    words = ["the", "", "thnterble", "a" * 300, "<|endoftext|>", "d'été", "x\u0301 \u0301y", "\n", "Ǆ"]
+    text = " ".join(rng.choice(words) for _ in range(3000))
+    whole = next(bpe.digests(PATH, True)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))).to_pydict()
+    assert whole["ids"][0] == LIB.encode(text, add_special_tokens=False).ids
+    for size in (1, 50, 5000):
+        monkeypatch.setattr(bpe, "PART", size)
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, None, ""]})
+        got = pa.Table.from_batches(bpe.digests(PATH, True)(iter([batch]))).to_pydict()
+        assert {k: v[:1] for k, v in got.items()} == whole and got["n_tokens"][1:] == [0, 0]
