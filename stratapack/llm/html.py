@@ -1,16 +1,19 @@
-"""Main text of web pages: page structure, and differencing against the page with the nearest URL.
-
-A page is cut into blocks. A block inside an article (or main) element is text for certain, one inside
-a menu, header, footer, sidebar, form, script, comment list and the like is not. What neither says is
-settled by differencing: pages of a host are ordered by URL path, and neighbours that are equal or
-nearly equal (NEAR percent of the longer one's text in shared lines) make a run. Each run is paired
-with the page before or after it, whichever shares the longer path prefix with the run's end there;
-every page's lines are aligned with that page's by longest common subsequence, and undecided lines on
-it are deleted. So all copies of a run get the same text, and near copies don't delete what they have
-in common. A page of the run that is nearly equal to the partner too takes the other side's. Where a
-host is one single run nothing tells boilerplate from text, and undecided lines stay. Lines inside an
-article are never deleted for being shared: articles quote each other, and copies of a whole article
-share all. Pages without a line are no neighbours.
+"""Main text of web pages: differencing against the page with the nearest URL, and page structure.
+
+A page is cut into blocks, its lines. Pages of a host are ordered by URL path, and neighbours that are
+equal or nearly equal (NEAR percent of the longer one's text in shared lines) make a run. Each run is
+paired with the page before or after it, whichever shares the longer path prefix with the run's end
+there; every page's lines are aligned with that page's by longest common subsequence, and shared lines
+are deleted. So all copies of a run get the same text, and near copies don't delete what they have in
+common. A page of the run that is nearly equal to the partner too takes the other side's. Where a host
+is one single run nothing tells boilerplate from text, and differencing deletes nothing.
+
+Structure protects and completes. A line inside an article (main, where there is no article) is
+protected: articles quote each other, and copies of a whole article share all. What differencing has
+left of menus, headers, footers, sidebars, forms and elements whose class, id or role names such a part
+is deleted after it, as is what stands outside a page's article: such lines may differ on every page.
+Inside an article names decide less: SURE words of a class or role delete; the other HINTS, and any of
+an id, only take the protection away, so that differencing decides, and headings keep it.
 
 Neighbours are found without putting a host in one task: URLs are cut into ranges by a bounded sample
 and each range is ordered by itself. The outermost pages of a range and those beside its outermost
@@ -21,7 +24,7 @@ are shuffled.
 
 Behaviour: null or empty html gives an empty text; a null URL is the empty URL; character references
 are decoded once; br is white space inside a block; white space is what Python's split() takes for
-it. A page of any length is processed whole; repeated rows repeat their result; an empty table gives
+it. A page of any length is processed whole, in time that grows with its length; repeated rows repeat their result; an empty table gives
 an empty table; extra columns are ignored.
 """
 
@@ -41,18 +44,17 @@ from pyspark.sql import functions as F
 from stratapack.llm.common import slices, start
 from stratapack.session import materialize
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>""",
-    re.DOTALL,
-)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 CUT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose content is never read.
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe textarea title object canvas audio video select".split())
 #: Elements that hold no article text, and those of them that an article may have as its own.
 OUT = frozenset("nav footer aside form header dialog menu button head fieldset".split())
 OWN = frozenset({"header"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that begin and end a block; containers are kept on the stack, leaves end by the next block.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th hr pre caption summary figcaption address option".split())
 CONTAINERS = frozenset("html body div section article main nav footer aside form header dialog menu button head fieldset ul ol dl table thead tbody tfoot blockquote figure details center".split())
@@ -63,23 +65,61 @@ HINTS = frozenset(
     "respond disqus discussion share sharing social related recommended recommendations teaser widget widgets pagination pager skip search searchbox complementary contentinfo tooltip hidden".split()
 )
 HEADER_HINTS = frozenset({"header", "head", "top"})
-EXCLUDED, ARTICLE, MAIN = 1, 2, 4
+#: Those that mean nothing else, inside an article as well.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter paywall sidebar nav navbar navigation breadcrumb breadcrumbs "
+    "comments commentlist respond disqus sharing share social teaser pagination hidden".split()
+)
+EXCLUDED, ARTICLE, MAIN, DOUBTED = 1, 2, 4, 8
 #: Percent of the longer page's text that shared lines make up in nearly equal pages.
 NEAR = 80
 
 
-def _hinted(attrs: str, inside: bool, name: str) -> bool:
-    """Whether an element's attributes mark it as none of the article's text."""
+def _hinted(attrs: str, inside: bool, name: str) -> int:
+    """EXCLUDED or DOUBTED if an element's attributes mark it as none of the article's text, else 0."""
+    out = 0
     for m in ATTRIBUTE.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
             words = set(CUT.split(value))
-            if words & HINTS or (not inside and name != "article" and words & HEADER_HINTS):
-                return True
+            if not inside:
+                if words & HINTS or (name != "article" and words & HEADER_HINTS):
+                    return EXCLUDED
+            elif words & SURE and key != "id":
+                return EXCLUDED
+            elif words & HINTS and name not in HEADINGS:
+                out = DOUBTED
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return EXCLUDED
+    return out
+
+
+class Tags:
+    """Finds where a tag ends: at the first ">" outside quotes; if quotes don't close, at the first one at all.
+
+    Places from which no end was found are remembered, so that all searches together take linear time.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.dead = html, html.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """The place of the ">" of the tag whose name or mark begins here; -1 if there is none."""
+        if at > self.last:
+            return -1
+        seen, x = [], at
+        while m := SPECIAL.search(self.html, x):
+            x = m.start()
+            if m.group() == ">":
+                return x
+            seen.append(x)
+            close = -1 if x in self.dead else self.html.find(m.group(), x + 1)
+            if close < 0:
+                break
+            x = close + 1
+        self.dead.update(seen)
+        return self.html.find(">", at)
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
@@ -87,8 +127,10 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     buf: list[str] = []
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}  # how often each name is on the stack
     state = leaf = 0  # of the innermost container; of the open leaf
-    at, n = 0, len(html)
+    at, n, tags = 0, len(html), Tags(html)
+    closers: dict[str, re.Pattern] = {}
 
     def flush() -> None:
         if buf:
@@ -98,53 +140,67 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             buf.clear()
 
     while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
+        begin = html.find("<", at)
+        if begin < 0:
             buf.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            buf.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        if begin > at:
+            buf.append(unescape(html[at:begin]))
+        mark = html[begin + 1 : begin + 2]
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        m = NAME.match(html, begin + 1)
+        if m is None or (end := tags.end(m.end())) < 0:
+            end = html.find(">", begin) if mark and mark in "!?/" and begin < tags.last else -1
+            if m is not None or end < 0:
+                buf.append("<")  # no tag
+                at = begin + 1
+            else:
+                at = end + 1
             continue
-        name = m[2].lower()
+        at, attrs = end + 1, html[m.end() : end]
+        closing, name = m.group().startswith("/"), m.group().lstrip("/").lower()
         if name in LEAVES:
             flush()
-            leaf = EXCLUDED if not m[1] and m[3] and _hinted(m[3], bool(state & ARTICLE), name) else 0
+            leaf = 0 if closing or not attrs else _hinted(attrs, bool(state & ARTICLE), name)
         elif name == "br":
             buf.append(" ")
         elif name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else n
+            if not closing and not attrs.endswith("/"):
+                closer = closers.setdefault(name, re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE)).search(html, at)
+                end = html.find(">", closer.end()) if closer else -1
+                at = end + 1 if end >= 0 else n
                 if name != "title":
                     buf.append(" ")
         elif name in CONTAINERS:
             flush()
             leaf = 0
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        state = stack[i][1]
-                        del stack[i:]
+            if closing:
+                while held.get(name):
+                    top, state = stack.pop()
+                    held[top] -= 1
+                    if top == name:
                         break
             else:
                 stack.append((name, state))
+                held[name] = held.get(name, 0) + 1
                 inside = bool(state & ARTICLE)
                 if name in OUT and not (inside and name in OWN):
                     state |= EXCLUDED
-                elif name not in ("html", "body", "main") and m[3] and _hinted(m[3], inside, name):
-                    state |= EXCLUDED
+                elif name not in ("html", "body", "main") and attrs:
+                    state |= _hinted(attrs, inside, name)
                 if name == "article":
                     state |= ARTICLE
-                elif name == "main" or (m[3] and 'role="main"' in m[3]):
+                elif name == "main" or (attrs and 'role="main"' in attrs):
                     state |= MAIN
     flush()
     return out
 
 
 def lines_of(html: str | None) -> tuple[list[str], list[int]]:
-    """A page's lines, and which kind each is: 2 text, 1 undecided, 0 not text."""
+    """A page's lines, and which kind each is: 2 protected, 1 text unless it is shared, 0 not text."""
     found = blocks_of(html) if html else []
     present = 0
     for s, _ in found:
@@ -155,7 +211,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[int]]:
         if s & EXCLUDED:
             kinds.append(0)
         elif s & ARTICLE or (s & MAIN and not present & ARTICLE):
-            kinds.append(2)
+            kinds.append(1 if s & DOUBTED else 2)
         elif s & MAIN or not present & (ARTICLE | MAIN):
             kinds.append(1)
         else:
@@ -207,7 +263,7 @@ def _hash(line: str) -> int:
 
 
 def line_table(spark: SparkSession, pages: DataFrame, buckets: int, sample_rows: int) -> DataFrame:
-    """key, bucket, host, path, hashes of all lines, their lengths (0 for what is not text), places of the undecided ones."""
+    """key, bucket, host, path, hashes of all lines, their lengths (0 for what is not text), places of the unprotected ones."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url").alias("h"))
     n = urls.count()
@@ -223,7 +279,7 @@ def line_table(spark: SparkSession, pages: DataFrame, buckets: int, sample_rows:
                 lines, kinds = lines_of(h)
                 hashes.append([_hash(x) for x in lines])
                 sizes.append([len(x) if k else 0 for x, k in zip(lines, kinds, strict=True)])
-                unsure.append([i for i, k in enumerate(kinds) if k == 1])
+                unsure.append([i for i, k in enumerate(kinds) if k < 2])
             at = [bisect.bisect_right(bounds, p) for p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             cols = {c: b.column(c) for c in ("key", "host", "path")}
             cols |= {"bucket": pa.array(at, pa.int32()), "hashes": pa.array(hashes, pa.list_(pa.int64()))}
@@ -353,7 +409,7 @@ def _carried(edges: list[dict], back: bool) -> dict[int, tuple]:
 
 
 def _partners(lines: DataFrame, carried: dict[int, tuple], back: bool) -> DataFrame:
-    """key, prefix, places: the undecided lines that a page shares with the partner behind its run, if there is one."""
+    """key, prefix, places: the unprotected lines that a page shares with the partner behind its run, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, runs, done, hit = None, Runs(), None, None
@@ -382,7 +438,7 @@ def _partners(lines: DataFrame, carried: dict[int, tuple], back: bool) -> DataFr
 
 
 def shared_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """key, places: the undecided lines of a page that its run's partner has as well."""
+    """key, places: the unprotected lines of a page that its run's partner has as well."""
     lines = lines.where(F.size("hashes") > 0)
     edges = _edges(lines)
     both = _partners(lines, _carried(edges, False), False).unionByName(_partners(lines, _carried(edges, True), True))
@@ -400,7 +456,8 @@ def _prefix(a: str, b: str) -> int:
 
 
 def extract(spark: SparkSession, pages: DataFrame, buckets: int = 256, sample_rows: int = 20_000) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars, and how its lines were told: n_shared were deleted for being on
+    the partner page, n_structure by structure alone, n_lines are the text."""
     start(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     shared = shared_lines(spark, line_table(spark, pages, buckets, sample_rows))
@@ -408,11 +465,15 @@ def extract(spark: SparkSession, pages: DataFrame, buckets: int = 256, sample_ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            texts = []
+            texts, told = [], []
             for h, gone in zip(b.column("html").to_pylist(), b.column("places").to_pylist(), strict=True):
                 lines, kinds = lines_of(h)
                 drop = set(gone or ())
-                texts.append("\n".join([t for i, (t, k) in enumerate(zip(lines, kinds, strict=True)) if k and i not in drop]))
-            yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(np.array([len(t) for t in texts], np.int64))})
-
-    return d.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                kept = [t for i, (t, k) in enumerate(zip(lines, kinds, strict=True)) if k and i not in drop]
+                texts.append("\n".join(kept))
+                told.append((len(drop), len(lines) - len(drop) - len(kept), len(kept)))
+            counts = [pa.array(c, pa.int32()) for c in zip(*told, strict=True)]
+            lengths = pa.array(np.array([len(t) for t in texts], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), lengths, *counts], names=["page_id", "url", "text", "n_chars", "n_shared", "n_structure", "n_lines"])
+
+    return d.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared int, n_structure int, n_lines int")
