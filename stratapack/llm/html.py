@@ -12,8 +12,12 @@ Structure protects and completes. A line inside an article (main, where there is
 protected: articles quote each other, and copies of a whole article share all. What differencing has
 left of menus, headers, footers, sidebars, forms and elements whose class, id or role names such a part
 is deleted after it, as is what stands outside a page's article: such lines may differ on every page.
-Inside an article names decide less: SURE words of a class or role delete; the other HINTS, and any of
-an id, only take the protection away, so that differencing decides, and headings keep it.
+Inside an article names decide less: SURE words of a class or role delete, those of an id only where it
+holds nothing but HINTS; the other HINTS, and ids with further words, only take the protection away, so
+that differencing decides. An id never speaks against a heading.
+
+Where menus, adverts and the like differ from page to page, sharing can't tell them, and structure
+alone gives the text. n_decided counts the lines that nothing but differencing deleted.
 
 Neighbours are found without putting a host in one task: URLs are cut into ranges by a bounded sample
 and each range is ordered by itself. The outermost pages of a range and those beside its outermost
@@ -24,8 +28,8 @@ are shuffled.
 
 Behaviour: null or empty html gives an empty text; a null URL is the empty URL; character references
 are decoded once; br is white space inside a block; white space is what Python's split() takes for
-it. A page of any length is processed whole, in time that grows with its length; repeated rows repeat their result; an empty table gives
-an empty table; extra columns are ignored.
+it. A page of any length is processed whole, in time that grows with its length; repeated rows repeat
+their result; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +90,7 @@ def _hinted(attrs: str, inside: bool, name: str) -> int:
             if not inside:
                 if words & HINTS or (name != "article" and words & HEADER_HINTS):
                     return EXCLUDED
-            elif words & SURE and key != "id":
+            elif words & SURE and (key != "id" or (words <= HINTS and name not in HEADINGS)):
                 return EXCLUDED
             elif words & HINTS and name not in HEADINGS:
                 out = DOUBTED
@@ -457,7 +461,8 @@ def _prefix(a: str, b: str) -> int:
 
 def extract(spark: SparkSession, pages: DataFrame, buckets: int = 256, sample_rows: int = 20_000) -> DataFrame:
     """Per page: page_id, url, text, n_chars, and how its lines were told: n_shared were deleted for being on
-    the partner page, n_structure by structure alone, n_lines are the text."""
+    the partner page, n_decided of them are lines that structure would have kept, n_structure were deleted
+    by structure alone, n_lines are the text."""
     start(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     shared = shared_lines(spark, line_table(spark, pages, buckets, sample_rows))
@@ -471,9 +476,9 @@ def extract(spark: SparkSession, pages: DataFrame, buckets: int = 256, sample_ro
                 drop = set(gone or ())
                 kept = [t for i, (t, k) in enumerate(zip(lines, kinds, strict=True)) if k and i not in drop]
                 texts.append("\n".join(kept))
-                told.append((len(drop), len(lines) - len(drop) - len(kept), len(kept)))
+                told.append((len(drop), sum(kinds[i] > 0 for i in drop), len(lines) - len(drop) - len(kept), len(kept)))
             counts = [pa.array(c, pa.int32()) for c in zip(*told, strict=True)]
             lengths = pa.array(np.array([len(t) for t in texts], np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), lengths, *counts], names=["page_id", "url", "text", "n_chars", "n_shared", "n_structure", "n_lines"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), lengths, *counts], names=["page_id", "url", "text", "n_chars", "n_shared", "n_decided", "n_structure", "n_lines"])
 
-    return d.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared int, n_structure int, n_lines int")
+    return d.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared int, n_decided int, n_structure int, n_lines int")

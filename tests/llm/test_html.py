@@ -1,6 +1,9 @@
 """Main text: page shapes by hand, alignment against a plain dynamic program, pairing over all cuts."""
 
 import random
+import time
+
+import pytest
 
 from stratapack.llm import html
 
@@ -30,6 +33,23 @@ def test_odd_pages():
     assert text("<article>" + "<p>word</p>" * 20_000 + "</article>").count("\n") == 19_999
 
 
+def test_names_inside_articles():
+    """Words of ids and weak words of classes don't delete article text by themselves."""
+    page = (
+        '<article><h2 id="discussion">Discussion</h2><p>a</p><h2 id="comments">On comments</h2><p>b</p><section id="related-work"><p>c</p></section><p class="notice">d</p>'
+        '<div class="search-results"><p>e</p></div><section id="social-contract"><p>f</p></section><p>g<svg><text>h</text></svg><math><mi>x</mi></math></p>'
+        '<div class="sidebar"><p>s</p></div><div id="comments"><p>Reader</p></div><div class="comments"><p>Reader</p></div></article>'
+    )
+    assert text(page) == "Discussion\na\nOn comments\nb\nc\nd\ne\nf\nghx"
+
+
+@pytest.mark.parametrize("unit", ['<x "', "<x '", "<", "</", "<!", "<a b='\"", '<p "\'>', "<div>", "<script ", "<script>", "<div></p></article>", "<!--", "&amp", "</script"])
+def test_hostile_markup_in_linear_time(unit):
+    began = time.perf_counter()
+    html.lines_of(unit * (500_000 // len(unit)))
+    assert time.perf_counter() - began < 10
+
+
 def test_alignment():
     rng = random.Random(4)
     for _ in range(200):
@@ -68,6 +88,16 @@ def test_text_in_articles_stays(spark):
     assert [r["text"] for r in html.extract(spark, df).collect()] == ["Same\nquoted by many"] * 2
 
 
+def test_differencing_decides(spark):
+    """A line in an article under a weak name goes if the partner has it, stays if not; outside articles sharing decides as well."""
+    rows = [(i, f"http://a.example/{i}", f'<article><p>text {i}</p><p class="notice">{"Sale ends soon" if i < 4 else "Bridge closed"}</p></article><p>{"foot" if i % 2 else i}</p>') for i in range(5)]
+    rows += [(9, "http://b.example/1", "<p>head</p><p>nine</p>"), (10, "http://b.example/2", "<p>head</p><p>and ten</p>")]
+    got = {r["page_id"]: r for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["text"] for i in range(5)] == ["text 0", "text 1", "text 2", "text 3", "text 4\nBridge closed"]
+    assert [(got[i]["n_shared"], got[i]["n_decided"], got[i]["n_structure"], got[i]["n_lines"]) for i in (0, 4)] == [(1, 1, 1, 1), (0, 0, 1, 2)]
+    assert (got[9]["text"], got[10]["text"]) == ("nine", "and ten") and got[9]["n_decided"] == 1
+
+
 def brute_text(rows):
     """Runs and partners straight from the definition, host by host; text per row number."""
 
