@@ -14,6 +14,9 @@ centroids, 16 MiB at most) are on the driver and in the workers. Recall against
 How many rows a query meets follows from the data: where they have structure, the nearest cells hold
 the neighbours; in uniform noise of d dimensions, quantised distances say less the larger d is, and
 only finer codebooks and a larger share help. The defaults are those that noise of 64 dimensions needs.
+Rows of the sample lie nearer to their centroids than others do and are found more often; where the
+table is no larger than a codebook, every row is its own centroid and the walk's order is the exact one.
+So recall has to be measured on rows outside the sample: their part grows with the table.
 
 Behaviour: vectors that are null, empty, zero, of another length than the most common, or hold null
 or non-finite components take no part, nor do rows without an id. A row repeated under one id is
@@ -46,7 +49,7 @@ class Params:
     #: Of each half; fewer only where the sample has fewer different vectors.
     centroids: int = 2048
     #: The share of all rows that a query's cells hold before its walk ends.
-    share: float = 0.15
+    share: float = 0.2
     bin_rows: int = 2048
     sample_rows: int = 20_000
     rounds: int = 6
@@ -109,6 +112,13 @@ def walk(near: np.ndarray, far: np.ndarray, counts: np.ndarray, want: int, side:
     return cell[order[: int(np.searchsorted(np.cumsum(h[order]), want)) + 1]]
 
 
+def fitted_rows(vectors: DataFrame, n: int, p: Params) -> DataFrame:
+    """The bounded sample of n vectors that the codebooks are fitted on."""
+    key = F.xxhash64("vec_id", F.lit(p.seed))
+    share = min(1.0, 1.1 * p.sample_rows / n)
+    return vectors.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(key, "vec_id").limit(p.sample_rows)
+
+
 def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params()) -> DataFrame:
     """The p.k nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance)."""
     start(spark)
@@ -119,8 +129,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query, id_col: str = "vec_id
     vectors = vectors.where(F.size("vector") == d)
     half = max(d // 2, 1)
     key = F.xxhash64("vec_id", F.lit(p.seed))
-    share = min(1.0, 1.1 * p.sample_rows / n)
-    sample = vectors.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(key, "vec_id").limit(p.sample_rows).select("vector").toPandas()
+    sample = fitted_rows(vectors, n, p).select("vector").toPandas()
     x = matrix(sample["vector"], d)
     one = kmeans(x[:, :half], p.centroids, p.rounds, p.seed)
     two = kmeans(x[:, half:], p.centroids, p.rounds, p.seed + 1) if d > 1 else np.zeros((1, 0))

@@ -132,7 +132,7 @@ def test_multiindex_recall_of_the_defaults(spark):
     rng = np.random.default_rng(2)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     x = unit(0.47 * unit(rng.normal(size=(10, 64)))[rng.integers(0, 10, 12_000)] + 0.88 * unit(rng.normal(size=(12_000, 64))))
-    assert multiindex.Params().share <= 0.15 and recall(spark, x) >= 0.9
+    assert multiindex.Params().share <= 0.2 and recall(spark, x) >= 0.9
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
@@ -141,6 +141,26 @@ def test_multiindex_recall_on_the_tables(spark):
     assert recall(spark, np.stack(rows["embedding"].to_pylist()), rows["vec_id"].to_numpy()) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_l"), reason="needs the test tables")
+def test_multiindex_recall_outside_the_sample(spark):
+    """Shipped parameters on a table of more rows than the sample: neighbours that no codebook was fitted on."""
+    p, path = multiindex.Params(), "/root/testdata/check_l/embeddings.parquet"
+    rows = spark.read.parquet(path).where("embedding IS NOT NULL AND size(filter(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))) = 0 AND exists(embedding, x -> x <> 0)")
+    seen = {r[0] for r in multiindex.fitted_rows(rows, rows.count(), p).select("vec_id").collect()}
+    got = multiindex.search(spark, spark.read.parquet(path), lambda i: i % 100 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    table = rows.toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    square, hit, n = (x * x).sum(1), [0, 0], [0, 0]
+    for i in np.flatnonzero(ids % 100 == 0):
+        s = square - 2 * x @ x[i]
+        s[ids == ids[i]] = np.inf
+        for j in np.argsort(s, kind="stable")[:10]:
+            n[ids[j] in seen] += 1
+            hit[ids[j] in seen] += ids[j] in got[ids[i]]
+    assert n[0] > 1000 and hit[0] >= 0.9 * n[0] and sum(hit) >= 0.9 * sum(n), (hit, n)
+    print("recall outside, inside the sample:", hit[0] / n[0], hit[1] / n[1])
+
+
 def test_walk_against_sorting():
     rng = np.random.default_rng(6)
     for side in (1, 3, 64):
