@@ -148,9 +148,21 @@ def dictionary_size(n: Column) -> Column:
     return F.least(F.greatest(F.pow(F.lit(2.0), power), F.lit(float(1 << 20))), F.lit(float(512 << 20))).cast("long")
 
 
+#: Fixed value: the note of a skip mark that has none.
+SKIP_NOTE = "Skipped by benchmark wrapper"
+
+
 def skip_reason(stderr: Column, stdout: Column) -> Column:
-    """The first line that begins with the skip mark, of stderr, then of stdout; null if neither has one."""
-    find = lambda c: F.nullif(F.trim(F.regexp_extract(c, r"(?m)^BENCHMARK_SKIP:(.*)$", 1)), F.lit(""))
+    """The note of the first line that begins with the skip mark, of stderr, then of stdout; null if neither has one.
+
+    A mark without a note gives SKIP_NOTE.
+    """
+    mark = r"(?m)^BENCHMARK_SKIP:(.*)$"
+
+    def find(c: Column) -> Column:
+        note = F.trim(F.regexp_extract(c, mark, 1))
+        return F.when(F.rlike(c, F.lit(mark)), F.when(note == "", SKIP_NOTE).otherwise(note))
+
     return F.coalesce(find(stderr), find(stdout))
 
 

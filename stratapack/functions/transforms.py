@@ -38,13 +38,15 @@ def gzip_reverse(data: bytes, recipe: bytes) -> bytes:
 
 MARK, TOKENS = 0xFF, 16
 RUN = re.compile(rb"[A-Za-z0-9_]+")
+#: A recipe gives a token's length in two bytes; longer ones stay as they are.
+MAX_TOKEN = 65_535
 
 
 def select_tokens(data: bytes) -> list[bytes]:
-    """Up to 16 tokens by saving: runs of 4 or more word bytes, more than once, worth more than their length."""
+    """Up to 16 tokens by saving: runs of 4 to MAX_TOKEN word bytes, more than once, worth more than their length."""
     counts: dict[bytes, int] = {}
     for t in RUN.findall(data):
-        if len(t) >= 4:
+        if 4 <= len(t) <= MAX_TOKEN:
             counts[t] = counts.get(t, 0) + 1
     saving = {t: c * (len(t) - 2) for t, c in counts.items() if c > 1 and c * (len(t) - 2) > len(t)}
     return sorted(saving, key=lambda t: (-saving[t], -len(t), t))[:TOKENS]

@@ -9,6 +9,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratapack.functions.classify import SKIP_NOTE
 from stratapack.functions.hashing import megabytes
 
 TIMEOUT_S = 600
@@ -103,6 +104,8 @@ def run_tool(command: list[str], dataset: str, output: str, timeout_s: int = TIM
     """status, seconds, archive_size, note of one external run; for the driver, a few tools at a time."""
     if not os.path.exists(dataset):
         return "skipped", None, None, "missing input"
+    if os.path.isfile(output) and not os.path.samefile(output, dataset):
+        os.unlink(output)  # an earlier run's output must not pass for this one's
     began = time.perf_counter()
     try:
         r = subprocess.run(command, capture_output=True, text=True, timeout=timeout_s)
@@ -113,7 +116,7 @@ def run_tool(command: list[str], dataset: str, output: str, timeout_s: int = TIM
     if r.returncode:
         for line in (r.stderr + "\n" + r.stdout).splitlines():
             if line.startswith("BENCHMARK_SKIP:"):
-                return "skipped", None, None, line.split(":", 1)[1].strip()
+                return "skipped", None, None, line.split(":", 1)[1].strip() or SKIP_NOTE
         return "failed", None, None, f"exit code {r.returncode}"
     if not os.path.exists(output):
         return "failed", None, None, "no output"

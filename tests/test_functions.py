@@ -164,3 +164,23 @@ def test_arm64_adrp():
     for data in (edge, noise, noise[:-3]):
         out, recipe = T.TRANSFORMS["branch_arm64"][0](data)
         assert out != data and T.TRANSFORMS["branch_arm64"][1](out, recipe) == data
+
+
+def test_long_repeated_token():
+    """A repeated token that a recipe's two-byte length can't hold stays as it is."""
+    for n in (65_535, 65_536, 200_000):
+        data = b"k" * n + b" " + b"k" * n + b" alpha alpha alpha alpha alpha"
+        payload, recipe = T.dictionary_apply(data)
+        assert T.dictionary_reverse(payload, recipe) == data and (len(payload) < 100) == (n == 65_535)
+    assert T.dictionary_apply(b"k" * 70_000 + b" " + b"k" * 70_000) is None
+
+
+def test_skip_without_note_and_stale_output(spark, tmp_path):
+    d = spark.createDataFrame([("BENCHMARK_SKIP:", "BENCHMARK_SKIP: out"), ("", "x\nBENCHMARK_SKIP:  \nBENCHMARK_SKIP: two"), ("none", None)], "e string, o string")
+    assert [r[0] for r in d.select(classify.skip_reason(F.col("e"), F.col("o"))).collect()] == [classify.SKIP_NOTE, classify.SKIP_NOTE, None]
+    data, old = tmp_path / "in", tmp_path / "old"
+    data.write_text("x")
+    old.write_text("from an earlier run")
+    assert benchmark.run_tool(["true"], str(data), str(old))[0] == "failed" and not old.exists()
+    assert benchmark.run_tool(["true"], str(data), str(data))[0] == "ok" and data.exists()
+    assert benchmark.run_tool(["sh", "-c", "echo BENCHMARK_SKIP:; exit 85"], str(data), str(old))[3] == classify.SKIP_NOTE
