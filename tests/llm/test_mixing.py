@@ -59,3 +59,21 @@ def test_edges(spark):
     assert all(r["taken"] == 0 for r in got if not r["size"])
     assert mixing.plan(spark, df.limit(0)).count() == 0
     assert mixing.apply(spark, df).columns == df.columns
+
+
+def test_apply_takes_what_plan_takes(spark):
+    """Shared ids at a cut, texts of one id with different sizes, a null id, a clashing column."""
+    rows = [(i % 7 or None, " ".join(["w"] * (1 + (i * 5) % 11 + j % 2)), s, f"{s}{i}{j}") for s, n in (("a", 90), ("b", 12), (None, 30)) for i in range(n) for j in range(2)]
+    rows += [(1, None, "a", "n"), (8, " ", "b", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cut string")
+    want, got = {}, {}
+    for seed in (1, 2, 3):
+        for r in mixing.plan(spark, df, seed=seed).where("taken > 0").collect():
+            k = (seed, r["doc_id"], r["size"], r["source_size"])
+            want[k] = want.get(k, 0) + r["taken"]
+        sizes = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in ("a", "b", None)}
+        for r in mixing.apply(spark, df, seed=seed).collect():
+            n = len(r["text"].split())
+            k = (seed, r["doc_id"], n, sizes[r["source"]])
+            got[k] = got.get(k, 0) + n
+    assert got == want
