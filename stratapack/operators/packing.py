@@ -8,11 +8,15 @@ order first (longer runs keep path order in the original semantics), and payload
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
+
+from stratapack.operators.ordering import running_totals
 
 MAX_RUN = 4096
 SAMPLE_BYTES = 65_536
@@ -35,9 +39,21 @@ def fingerprint(content: pd.Series) -> pd.Series:
 
 
 def byte_histogram(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
-    """Byte counts per group, as rows: keys, byte, n."""
-    digits = F.explode(F.regexp_extract_all(F.hex(content), F.lit(".."), F.lit(0)))
-    return rows.select(*keys, digits.alias("h")).groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("n")).select(*keys, F.conv("h", 16, 10).cast("long").alias("byte"), "n")
+    """Byte counts per group, as rows: keys, byte, n. Each batch is counted before anything is shuffled."""
+    picked = rows.select(*keys, content.alias("_content")).where("_content IS NOT NULL")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for _, g in pdf.groupby(keys, dropna=False, sort=False):
+                n = np.bincount(np.frombuffer(b"".join(map(bytes, g["_content"])), np.uint8), minlength=256)
+                at = np.flatnonzero(n)
+                parts.append(pd.DataFrame({**{k: [g[k].iloc[0]] * len(at) for k in keys}, "byte": at, "n": n[at]}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    schema = StructType([*picked.select(*keys).schema.fields, StructField("byte", LongType()), StructField("n", LongType())])
+    return picked.mapInPandas(count, schema).groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(histogram: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,6 +82,19 @@ def chain(h: np.ndarray, sizes: np.ndarray) -> list[int]:
     return out
 
 
+def runs(items: DataFrame, segment: str) -> DataFrame:
+    """item_id, the segment, position and run_no: runs of MAX_RUN items of one segment by path.
+
+    One range sort over ids and paths, so a segment that holds most items still spreads over many tasks.
+    """
+    ids = items.select("item_id", segment, "path")
+    ranked = running_totals(items.sparkSession, ids, [F.col(segment), F.col("path"), F.col("item_id")])
+    first = ranked.groupBy(segment).agg(F.min("position").alias("first"))
+    ranked = ranked.alias("r").join(first.alias("f"), F.col(f"r.{segment}").eqNullSafe(F.col(f"f.{segment}")))
+    place = F.col("r.position") - F.col("f.first")
+    return ranked.select("r.item_id", f"r.{segment}", place.alias("place"), F.floor(place / MAX_RUN).cast("long").alias("run_no"))
+
+
 def similarity_order(items: DataFrame) -> DataFrame:
     """item_id, ext, run_no, position: order within the run of one extension (case-sensitive)."""
 
@@ -75,8 +104,7 @@ def similarity_order(items: DataFrame) -> DataFrame:
         out = pdf.iloc[order][["item_id", "ext", "run_no"]]
         return out.assign(position=np.arange(len(out), dtype=np.int64))
 
-    place = F.row_number().over(Window.partitionBy("ext").orderBy("path", "item_id")) - 1
-    cut = items.withColumn("run_no", F.floor(place / MAX_RUN).cast("long"))
+    cut = runs(items, "ext").join(items.drop("ext"), "item_id")
     return cut.select("item_id", "ext", "run_no", "path", "size", "fingerprint").groupBy("ext", "run_no").applyInPandas(run, "item_id string, ext string, run_no long, position long")
 
 

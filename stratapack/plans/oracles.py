@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratapack.functions import classify
+from stratapack.functions import classify, hashing
 from stratapack.plans import queries as q
 from stratapack.sources import views
 
@@ -64,6 +64,13 @@ def _score(s: str, t: str, bs: str, bt: str) -> str:
     return SCORE.format(s=s, t=t, bs=bs, bt=bt)
 
 
+def _fnv_lane(seed: int) -> str:
+    """One lane in 128-bit integers, its result's bytes reversed."""
+    bytes_ = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::HUGEINT)"
+    h = f"list_reduce({bytes_}, lambda a, b: (xor(a, b) * {hashing.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT, {int(seed)}::HUGEINT)"
+    return f"lower(array_to_string(list_reverse(regexp_extract_all(lpad(hex(({h})::UBIGINT), 16, '0'), '..')), ''))"
+
+
 SQL: dict[str, str] = {
     "flagship": f"""
         WITH f AS (SELECT doc_id AS file_id, {DOC_PATH} AS path, strlen(text) AS size, ({IS_TEXT.format("text")}) AS text, sha256(text) AS content_ck, min(doc_id) OVER (PARTITION BY sha256(text)) AS stored_as FROM documents)
@@ -108,13 +115,14 @@ SQL: dict[str, str] = {
         WITH r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 4096 AS run_no FROM documents)
         SELECT '.txt' AS ext, run_no, count(*) AS items, count(*) AS distinct_items, count(*) AS positions, count(*) - 1 AS last_position FROM r GROUP BY run_no""",
     "solid_groups": f"""
-        WITH RECURSIVE i AS (SELECT doc_id, source, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY {DOC_PATH}) AS p FROM documents),
-        f AS (SELECT doc_id, source, size, p, 0 AS group_no, 0 AS payload_offset, size >= {q.SOLID_CAP} AS alone FROM i WHERE p = 1
-            UNION ALL SELECT i.doc_id, i.source, i.size, i.p,
+        WITH RECURSIVE i AS (SELECT doc_id, source, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY {DOC_PATH}) - 1 AS place FROM documents),
+        j AS (SELECT doc_id, source, size, place // 4096 AS run_no, place % 4096 AS p FROM i),
+        f AS (SELECT doc_id, source, size, run_no, p, 0 AS group_no, 0 AS payload_offset, size >= {q.SOLID_CAP} AS alone FROM j WHERE p = 0
+            UNION ALL SELECT i.doc_id, i.source, i.size, i.run_no, i.p,
             CASE WHEN f.alone OR i.size >= {q.SOLID_CAP} OR f.payload_offset + f.size + i.size > {q.SOLID_CAP} THEN f.group_no + 1 ELSE f.group_no END,
             CASE WHEN f.alone OR i.size >= {q.SOLID_CAP} OR f.payload_offset + f.size + i.size > {q.SOLID_CAP} THEN 0 ELSE f.payload_offset + f.size END, i.size >= {q.SOLID_CAP}
-            FROM f JOIN i ON i.source = f.source AND i.p = f.p + 1)
-        SELECT doc_id, source, group_no::BIGINT AS group_no, payload_offset::BIGINT AS payload_offset FROM f""",
+            FROM f JOIN j AS i ON i.source = f.source AND i.run_no = f.run_no AND i.p = f.p + 1)
+        SELECT doc_id, source, run_no, group_no::BIGINT AS group_no, payload_offset::BIGINT AS payload_offset FROM f""",
     "cdc_chunks": f"""
         WITH b AS (SELECT source, doc_id // {views.BUNDLE_SPAN} AS span, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY ALL)
         SELECT 'bundles/' || source || '-' || span || '.txt' AS path, strlen(body) AS size, true AS bounds_hold, sha256(body) AS restored_sha256 FROM b""",
@@ -133,7 +141,7 @@ SQL: dict[str, str] = {
     "path_guard": f"SELECT path, path = '' OR regexp_matches(replace(path, chr(92), '/'), '^(/|[A-Za-z]:)|(^|/)[.][.](/|$)') AS refused FROM {values(q.PATHS)} AS t(path)",
     "stamp_parse": f"SELECT stamp, coalesce(nullif(regexp_extract(stamp, '^zpaq-m([0-9]+)', 1), '')::BIGINT, 4) AS level FROM {values(q.STAMPS)} AS t(stamp)",
     "dictionary_sizes": "WITH d AS (SELECT DISTINCT l_orderkey * l_partkey AS n FROM lineitem) SELECT least(greatest(pow(2, ceil(log2(greatest(n, 1)))), 1048576), 536870912)::BIGINT AS dictionary_size, count(*) AS inputs FROM d GROUP BY 1",
-    "legacy_spans": "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS span_idx, doc_id::VARCHAR AS block_id, 0::BIGINT AS \"offset\", strlen(text) AS size FROM documents",
+    "legacy_spans": "WITH e AS (SELECT source || '-' || doc_id // 1000 AS entry, doc_id, text FROM documents) SELECT entry, row_number() OVER (PARTITION BY entry ORDER BY doc_id) - 1 AS span_idx, doc_id::VARCHAR AS block_id, 0::BIGINT AS \"offset\", strlen(text) AS size FROM e",
     "bench_matrix": RUNS + "SELECT * FROM runs",
     "bench_aggregate": RUNS + f"SELECT tool, {STATUS} AS status, {SUMS}, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets FROM runs WHERE tool <> 'gzip' GROUP BY tool",
     "bench_baseline": RUNS + f"SELECT {STATUS} AS status, {SUMS} FROM runs WHERE tool = 'gzip'",
@@ -145,5 +153,9 @@ SQL: dict[str, str] = {
     "bench_best_rival": RUNS
     + ", g AS (SELECT dataset, min(archive_size) FILTER (tool <> 'gzip') AS best, max(archive_size) FILTER (tool = 'gzip') AS own FROM runs WHERE status = 'ok' GROUP BY dataset) SELECT dataset, best, own, round((best - own) * 100.0::DOUBLE / best, 6) AS win_percent FROM g",
     "rolling_hash": "SELECT doc_id, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, b: xor((a * 33) % 4294967296, b), 0::BIGINT) AS h FROM documents",
+    "fnv_checksum": f"SELECT doc_id, {_fnv_lane(hashing.FNV_SEED_A)} || {_fnv_lane(hashing.FNV_SEED_B)} AS fnv FROM documents",
     "content_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
+
+#: Whatever the level and scope, every file comes back as it was.
+SQL |= {name: SQL["archive_roundtrip"] for name in ("archive_write_read", "archive_balanced", "archive_max", "archive_insane", "archive_chunk_scope")}

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapack.functions import classify, codecs, hashing, transforms
 from stratapack.operators import archive, benchmark, chunking, dedup, ordering, packing, tokens
-from stratapack.session import ship_code
+from stratapack.session import removed_at_exit, shared_dir, ship_code
 from stratapack.sources import views
 from stratapack.sources.tree import canonical_order, escapes
 
 BLOCK = 1024
 SOLID_CAP = 65_536
+LEGACY_SPAN = 1000
 
 
 def _size() -> Column:
@@ -127,10 +130,12 @@ def branch_roundtrip(spark, sf):
 
 
 def byte_histogram(spark, sf):
+    ship_code(spark)
     return packing.byte_histogram(views.table(spark, sf, "documents"), ["lang"], F.encode("text", "UTF-8"))
 
 
 def entropy(spark, sf):
+    ship_code(spark)
     h = packing.byte_histogram(views.table(spark, sf, "documents"), ["source"], F.encode("text", "UTF-8"))
     return packing.entropy(h, ["source"]).withColumn("entropy", F.round("entropy", 6))
 
@@ -158,12 +163,14 @@ def similarity_chain(spark, sf):
 
 
 def solid_groups(spark, sf):
+    """Runs of a source's documents by path, packed up to a cap."""
     ship_code(spark)
-    f = views.doc_files(spark, sf).withColumn("segment", F.element_at(F.split("path", "/"), 3))
-    place = F.row_number().over(Window.partitionBy("segment").orderBy("path"))
-    items = f.select(F.col("file_id").cast("string").alias("item_id"), "segment", place.alias("position"), classify.pack_bucket(F.col("path")).alias("bucket"), _size().alias("size"), _size().alias("fallback_size"), F.lit(False).alias("raw"))
+    f = views.doc_files(spark, sf).select(F.col("file_id").cast("string").alias("item_id"), F.element_at(F.split("path", "/"), 3).alias("source"), "path", _size().alias("size"))
+    placed = packing.runs(f, "source").join(f.drop("source"), "item_id").withColumn("segment", F.concat_ws(":", "source", "run_no"))
+    items = placed.select("item_id", "segment", F.col("place").alias("position"), classify.pack_bucket(F.col("path")).alias("bucket"), "size", F.col("size").alias("fallback_size"), F.lit(False).alias("raw"))
     p = packing.pack(items, {"compressible": SOLID_CAP, "executable": SOLID_CAP})
-    return p.select(F.col("item_id").cast("long").alias("doc_id"), F.col("segment").alias("source"), F.col("group_in_segment").alias("group_no"), "payload_offset")
+    parts = F.split("segment", ":(?=[0-9]+$)")
+    return p.select(F.col("item_id").cast("long").alias("doc_id"), parts[0].alias("source"), parts[1].cast("long").alias("run_no"), F.col("group_in_segment").alias("group_no"), "payload_offset")
 
 
 def cdc_chunks(spark, sf):
@@ -228,6 +235,35 @@ def archive_roundtrip(spark, sf):
     return r.select("path", "size", F.sha2("content", 256).alias("sha256"), "ok")
 
 
+def _restored(spark, sf, o: archive.Options) -> DataFrame:
+    """All files through create, write, manifest read and restore."""
+    path = f"{shared_dir(spark)}/stratapack-{uuid.uuid4().hex}"
+    archive.write(spark, archive.build(spark, views.all_files(spark, sf), o), path)
+    removed_at_exit(spark, path)
+    r = archive.restore(archive.read_manifest(spark, path))
+    return r.select("path", "size", F.sha2("content", 256).alias("sha256"), "ok")
+
+
+def archive_write_read(spark, sf):
+    return _restored(spark, sf, archive.Options("fast"))
+
+
+def archive_balanced(spark, sf):
+    return _restored(spark, sf, archive.Options("balanced"))
+
+
+def archive_max(spark, sf):
+    return _restored(spark, sf, archive.Options("max"))
+
+
+def archive_insane(spark, sf):
+    return _restored(spark, sf, archive.Options("insane"))
+
+
+def archive_chunk_scope(spark, sf):
+    return _restored(spark, sf, archive.Options("balanced", scope="chunk"))
+
+
 def archive_verify(spark, sf):
     a = _archive(spark, sf)
     v = archive.verify(a).agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("ok")).alias("bad"), F.sum("size").cast("long").alias("bytes"))
@@ -277,10 +313,12 @@ def dictionary_sizes(spark, sf):
 
 
 def legacy_spans(spark, sf):
+    """Entries of the old layout, each the documents of one source within LEGACY_SPAN ids."""
     d = views.table(spark, sf, "documents")
-    entries = d.groupBy("source").agg(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("block_ids")).select(F.col("source").alias("file_id"), "block_ids")
+    name = F.concat_ws("-", "source", F.floor(F.col("doc_id") / LEGACY_SPAN).cast("string"))
+    entries = d.groupBy(name.alias("file_id")).agg(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("block_ids"))
     blocks = d.select(F.col("doc_id").cast("string").alias("block_id"), F.octet_length("text").cast("long").alias("raw_size"), F.array().cast("array<string>").alias("transforms"), F.lit(None).cast("binary").alias("recipe"))
-    return archive.legacy_spans(entries, blocks).select(F.col("file_id").alias("source"), F.col("span_idx").cast("long").alias("span_idx"), "block_id", "offset", "size")
+    return archive.legacy_spans(entries, blocks).select(F.col("file_id").alias("entry"), F.col("span_idx").cast("long").alias("span_idx"), "block_id", "offset", "size")
 
 
 TOOLS = ["alpha", "bravo", "charlie", "delta", "gzip"]

@@ -15,7 +15,7 @@ flagship = q.flagship
 NAMES = (
     "flagship scan_canonical_order classify_text route_matrix route_counts extension_stats content_digest fnv_checksum rolling_hash file_dedup dedup_savings block_dedup "
     "token_dictionary dictionary_roundtrip gzip_normalize delta_roundtrip branch_roundtrip byte_histogram entropy cosine_neighbors similarity_chain solid_groups cdc_chunks "
-    "chunk_dedup block_layout codec_best_of_n codec_selective archive_roundtrip archive_verify archive_tamper missing_blocks roundtrip_multiset path_guard stamp_parse "
+    "chunk_dedup block_layout codec_best_of_n codec_selective archive_roundtrip archive_write_read archive_balanced archive_max archive_insane archive_chunk_scope archive_verify archive_tamper missing_blocks roundtrip_multiset path_guard stamp_parse "
     "dictionary_sizes legacy_spans bench_matrix bench_aggregate bench_baseline bench_weissman bench_tool_scores bench_delta bench_gate bench_best_rival"
 ).split()
 

@@ -58,14 +58,19 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; removed when the driver exits."""
     path = f"{shared_dir(spark)}/stratapack-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(_remove, spark, path, True)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours when the driver exits."""
+    atexit.register(_remove, spark, path, False)
+
+
+def _remove(spark: SparkSession, path: str, with_parent: bool) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent() if with_parent else p, True)
     except Exception:  # noqa: BLE001 - the JVM may be gone already at exit
         return
