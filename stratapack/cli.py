@@ -1,4 +1,4 @@
-"""python -m stratapack.cli compress | extract | verify: a thin command line over the archive."""
+"""python -m stratapack.cli compress | extract | verify | bench: a thin command line over the archive and the harness."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import argparse
 import json
 import os
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratapack.functions import codecs
-from stratapack.operators import archive
+from stratapack.operators import archive, runner
 from stratapack.sources import sinks
 from stratapack.sources.tree import TreeSource
 
@@ -30,10 +31,16 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("archive")
     e.add_argument("destination")
     sub.add_parser("verify").add_argument("archive")
+    b = sub.add_parser("bench")
+    b.add_argument("manifest")
+    b.add_argument("results")
+    b.add_argument("--tool", action="append", help='name=["command", ...] in place of the manifest\'s')
     return p
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:
+    if a.verb == "bench":
+        return {"results": a.results, "failed": bool(runner.main(spark, a.manifest, a.results, a.tool))}
     if a.verb == "compress":
         spark.dataSource.register(TreeSource)
         source = os.path.abspath(a.source)
@@ -41,7 +48,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         tree = spark.read.format("file_tree").load(source)
         files = tree.where("kind <> 'skipped'").drop("reason", "size").withColumn("file_id", F.xxhash64("path"))
         built = archive.build(spark, files, archive.Options(a.level, a.codecs, a.verify))
-        archive.write(spark, built, os.path.abspath(out))
+        archive.write(spark, built, os.path.abspath(out), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
         size = built.blocks.agg(F.coalesce(F.sum("encoded_size"), F.lit(0))).first()[0]
         return {"archive": out, "entries": built.entries.count(), "encoded_size": size}
     got = archive.read_manifest(spark, os.path.abspath(a.archive))
@@ -65,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"status": "error", "message": str(e)}) if a.json else f"error: {e}", file=sys.stderr)
         return 1
     print(json.dumps({"status": "ok", **out}) if a.json else " ".join(f"{k}={v}" for k, v in out.items()))
-    return 0
+    return int(out.get("failed", False))
 
 
 if __name__ == "__main__":
