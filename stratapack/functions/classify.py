@@ -16,9 +16,10 @@ CHUNKABLE_EXTENSIONS = [".csv", ".yaml", ".yml", ".svg", ".log"]
 DELTA_EXTENSIONS = [".bmp", ".tga", ".raw", ".pcx", ".ppm", ".pgm", ".pbm"]
 EXECUTABLE_EXTENSIONS = [".exe", ".dll", ".sys", ".ocx"]
 JPEG_EXTENSIONS = [".jpg", ".jpeg", ".jpe"]
-STRONGER_EXTENSIONS = (
-    ".bmp .c .cc .cpp .csv .cs .css .go .h .hpp .html .ini .java .js .json .jsx .kt .log .md .pbm .pcx .pgm .ppm .py .raw .rb .rs .sql .svg .tga .toml .txt .xml"
-).split()
+STRONGER_EXTENSIONS = [
+    ".bmp", ".c", ".cc", ".cpp", ".csv", ".cs", ".css", ".go", ".h", ".hpp", ".html", ".ini", ".java", ".js", ".json", ".jsx", ".kt", ".log", ".md", ".pbm",
+    ".pcx", ".pgm", ".ppm", ".py", ".raw", ".rb", ".rs", ".sql", ".svg", ".tga", ".toml", ".txt", ".xml",
+]
 MACHINES = {0x14C: "x86", 0x8664: "x86", 0xAA64: "arm64", 0x1C0: "arm", 0x1C4: "thumb"}
 CHUNK_OVER = 65_536
 TEXT_PERCENT = 85
@@ -110,11 +111,9 @@ def machine(content: Column) -> Column:
 
 
 def branch_filter(content: Column) -> Column:
-    m = machine(content)
-    out = F.lit(None).cast("string")
-    for number, name in MACHINES.items():
-        out = F.when(m == number, name).otherwise(out)
-    return out
+    """One lookup: nested conditions would repeat the header's arithmetic in the generated code."""
+    names = F.create_map(*[F.lit(x) for pair in MACHINES.items() for x in pair])
+    return F.try_element_at(names, machine(content).cast("int"))
 
 
 def is_jpeg(content: Column, path: Column) -> Column:

@@ -45,6 +45,8 @@ UNAVAILABLE = ("zpaq", "ppmd", "cm", "brotli")
 #: level -> (codec spec, verify every block after writing)
 LEVELS = {"fast": ("zstd-3", False), "balanced": ("lzma,zstd-19", False), "max": ("lzma,zstd-19,bz2", False), "insane": ("lzma,zstd-19,bz2,zlib-9", True)}
 STRONG, LIGHT = "lzma", "zstd-3"
+#: In a spec: the strong or the light codec, by the extension of a group's first file.
+SELECTIVE = "selective"
 
 
 def register_codec(name: str, compress: Callable[[bytes], bytes], decompress: Callable[[bytes], bytes]) -> None:
@@ -53,7 +55,12 @@ def register_codec(name: str, compress: Callable[[bytes], bytes], decompress: Ca
 
 def parse_spec(spec: str) -> list[str]:
     names = [n.strip() for n in spec.split(",")]
-    return [n for n in dict.fromkeys(names) if n in CODECS] or ["lzma"]
+    return [n for n in dict.fromkeys(names) if n in CODECS or n == SELECTIVE] or ["lzma"]
+
+
+def choose(spec: list[str], strong: bool) -> list[str]:
+    """The spec with its selective entry, if any, decided for one group."""
+    return list(dict.fromkeys((STRONG if strong else LIGHT) if n == SELECTIVE else n for n in spec))
 
 
 def codec(name: str) -> Codec:

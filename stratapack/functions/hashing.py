@@ -88,9 +88,3 @@ def zpaq_level(stamp: Column, default: int = 4) -> Column:
     """The method number of a codec stamp like "zpaq-m5"."""
     digits = F.regexp_extract(stamp, r"^zpaq-m([0-9]+)", 1)
     return F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(default))
-
-
-def expand_command(template: Column, values: dict[str, Column]) -> Column:
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template

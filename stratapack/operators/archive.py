@@ -1,8 +1,8 @@
 """The archive: entries, spans and blocks as Parquet tables with a meta row, written, read and verified.
 
 create -> dedup files -> route and transform -> chunk -> dedup blocks -> order and pack (metadata
-only) -> compress groups (codec competition) -> layout -> tables. Payloads are shuffled twice: to
-their groups and nowhere else before the write.
+only) -> compress groups (codec competition) -> layout -> tables. Payloads are joined with their
+places and shuffled to their groups; the originals travel with them only where a transform applied.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from stratapack.functions import classify, codecs, hashing, transforms
 from stratapack.operators import chunking, packing
-from stratapack.operators.dedup import first_copy
+from stratapack.operators.dedup import first_copy, resolve_copies
 from stratapack.operators.ordering import running_totals
 from stratapack.session import materialize, ship_code
 from stratapack.sources.tree import canonical_order, escapes
 
 FORMAT_VERSION = 2
+#: Fixed value: largest block, encoded or raw.
+MAX_BLOCK = 2 << 30
 GROUP_CAPS = {"compressible": 8 << 20, "executable": 4 << 20}
 
 
@@ -62,10 +64,12 @@ def _compress(o: Options):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
-        payload, fallback = b"".join(map(bytes, pdf["payload"])), b"".join(map(bytes, pdf["fallback"]))
+        payload = b"".join(map(bytes, pdf["payload"]))
+        fallback = b"".join(bytes(p if f is None else f) for p, f in zip(pdf["payload"], pdf["fallback"], strict=True))
         stored = bool(pdf["raw"].any())
         if not stored:
-            name, data = codecs.compete(payload, spec)
+            ext = pdf["segment"].iloc[0].split(":", 1)[1].rsplit(":", 1)[0]  # that of the group's first file, and of all others
+            name, data = codecs.compete(payload, codecs.choose(spec, ext.lower() in classify.STRONGER_EXTENSIONS))
             if check and codecs.CODECS[name][1](data) != payload:
                 raise ValueError(f"{name} doesn't give back group {pdf['segment'].iloc[0]}")
             stored = len(data) >= len(fallback)
@@ -109,7 +113,8 @@ def build(spark: SparkSession, files: DataFrame, o: Options = Options()) -> Arch
     order = packing.similarity_order(items)
     ordered = items.join(order.select("item_id", "run_no", "position"), "item_id").withColumn("segment", F.concat_ws(":", "bucket", "ext", "run_no"))
     packed = materialize(spark, packing.pack(ordered, GROUP_CAPS).withColumnRenamed("group_in_segment", "group_no").join(ordered.select("item_id", "position"), "item_id"), "packed")
-    payloads = blocks.select("block_key", "file_id", "block_idx", "payload", "fallback", "raw").join(firsts.select("block_key", F.col("f.file_id").alias("file_id"), F.col("f.block_idx").alias("block_idx")), ["block_key", "file_id", "block_idx"])
+    changed = F.when(F.exists("transforms", lambda t: t != "chunk"), F.col("fallback"))  # else the payload is the original
+    payloads = blocks.select("block_key", "file_id", "block_idx", "payload", changed.alias("fallback"), "raw").join(firsts.select("block_key", F.col("f.file_id").alias("file_id"), F.col("f.block_idx").alias("block_idx")), ["block_key", "file_id", "block_idx"])
     grouped = payloads.join(packed.select(F.col("item_id").alias("block_key"), "segment", "group_no", "position"), "block_key")
     out = materialize(spark, grouped.select("segment", "group_no", "position", "payload", "fallback", "raw").groupBy("segment", "group_no").applyInPandas(_compress(o), GROUP_SCHEMA), "groups")
     out = out.withColumn("block_id", F.sha2(F.concat_ws(":", "codec", F.sha2("data", 256)), 256))
@@ -120,7 +125,8 @@ def build(spark: SparkSession, files: DataFrame, o: Options = Options()) -> Arch
     tables = layout.join(placed, "block_id").select("block_id", "group_seq", "payload_offset", "encoded_size", "raw_size", "storage", "codec", F.sha2("data", 256).alias("checksum"), "data")
     where = packed.select(F.col("item_id").alias("block_key"), "segment", "group_no", "payload_offset", "fallback_offset").join(out.select("segment", "group_no", "block_id", "storage"), ["segment", "group_no"])
     stored = F.col("storage") == "raw"
-    spans = blocks.select("file_id", "block_idx", "block_key", "transforms", "recipe", "payload_size", "fallback_size", F.sha2("payload", 256).alias("p_ck"), F.sha2("fallback", 256).alias("f_ck")).join(where, "block_key", "left")
+    spans = blocks.select("file_id", "block_idx", "block_key", "transforms", "recipe", "payload_size", "fallback_size", F.sha2("payload", 256).alias("p_ck"), F.sha2("fallback", 256).alias("f_ck"))
+    spans = resolve_copies(spans, where)
     spans = spans.select("file_id", F.col("block_idx").alias("span_idx"), "block_id", F.when(stored, F.col("fallback_offset")).otherwise(F.col("payload_offset")).alias("offset"), F.when(stored, F.col("fallback_size")).otherwise(F.col("payload_size")).alias("size"), F.when(stored, F.col("f_ck")).otherwise(F.col("p_ck")).alias("checksum"), F.when(stored, F.filter("transforms", lambda t: t == "chunk")).otherwise(F.col("transforms")).alias("transforms"), F.when(~stored, F.col("recipe")).alias("recipe"))
     return Archive(entries, materialize(spark, spans, "spans"), materialize(spark, tables, "tables"), o.codecs)
 
@@ -151,7 +157,17 @@ def write(spark: SparkSession, a: Archive, path: str, created_utc: str | None =
         raise FileExistsError(path)
 
 
-def read_manifest(spark: SparkSession, path: str, check: bool = True) -> Archive:
+def _stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def read_manifest(spark: SparkSession, path: str, check: bool = True, max_manifest: int | None = None, max_payload: int | None = None) -> Archive:
+    """The archive's tables, refused if the format, a codec, a size or the manifest's digest doesn't hold.
+
+    max_manifest and max_payload bound the stored bytes of the manifest and the sum of the blocks; a
+    single block may never be larger than MAX_BLOCK.
+    """
     meta = spark.read.schema("format_version int, codecs string, checksum string, created_utc string").json(f"{path}/_meta").first()
     if meta is None or meta["format_version"] is None:
         raise ValueError("not an archive")
@@ -159,7 +175,13 @@ def read_manifest(spark: SparkSession, path: str, check: bool = True) -> Archive
         raise ValueError(f"unknown format version {meta['format_version']}")
     a = Archive(*[spark.read.parquet(f"{path}/{t}") for t in ("entries", "spans", "blocks")], meta["codecs"].split(","))
     for name in a.codecs:
-        codecs.codec(name)
+        if name != codecs.SELECTIVE:
+            codecs.codec(name)
+    if max_manifest is not None and sum(_stored_bytes(spark, f"{path}/{t}") for t in ("entries", "spans")) > max_manifest:
+        raise ValueError("manifest is too large")
+    total, largest = a.blocks.agg(F.coalesce(F.sum("encoded_size"), F.lit(0)), F.coalesce(F.max(F.greatest("encoded_size", "raw_size")), F.lit(0))).first()
+    if largest > MAX_BLOCK or max_payload is not None and total > max_payload:
+        raise ValueError("payload is too large")
     if check and manifest_checksum(a) != meta["checksum"]:
         raise ValueError("manifest checksum mismatch")
     return a
@@ -179,6 +201,10 @@ def structural_faults(a: Archive) -> DataFrame:
     empty = a.entries.where("kind = 'file'").join(owners, "same_as", "left_anti").select(F.lit("file without blocks").alias("fault"), F.col("file_id").cast("string").alias("id"))
     sizes = a.blocks.select("block_id", "raw_size").join(a.spans, "block_id").where((F.col("offset") < 0) | (F.col("offset") + F.col("size") > F.col("raw_size")))
     outside = sizes.select(F.lit("span out of range").alias("fault"), F.col("file_id").cast("string").alias("id"))
+    total = a.blocks.agg(F.sum("encoded_size").alias("total"))
+    beyond = (F.col("payload_offset") < 0) | (F.col("encoded_size") < 0) | (F.col("payload_offset") + F.col("encoded_size") > F.col("total"))
+    placed = a.blocks.select("block_id", "payload_offset", "encoded_size").crossJoin(F.broadcast(total)).where(beyond)  # total is one row
+    outside = outside.unionByName(placed.select(F.lit("block out of range").alias("fault"), F.col("block_id").alias("id")))
     paths = a.entries.where(escapes(F.col("path"))).select(F.lit("path leaves the destination").alias("fault"), F.col("path").alias("id"))
     return missing.unionByName(twice).unionByName(empty).unionByName(outside).unionByName(paths).distinct()
 

@@ -26,5 +26,7 @@ def fixed_blocks(files: DataFrame, block: int) -> DataFrame:
 
 
 def resolve_copies(spans: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Each copied block's span gets its canonical block's id; unresolved spans keep a null, to be refused."""
-    return spans.join(canonical, "block_key", "left")
+    """Each span gets its canonical block by block_key; one that has none makes the query fail."""
+    found = spans.join(canonical, "block_key", "left")
+    refuse = F.raise_error(F.concat(F.lit("unresolved span of file "), F.col("file_id").cast("string"))).cast("string")
+    return found.withColumn("block_id", F.coalesce("block_id", refuse))

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratapack.functions import codecs
+from stratapack.functions import classify, codecs
 from stratapack.operators import archive
 from stratapack.operators.archive import Options
+from stratapack.operators.dedup import resolve_copies
 from stratapack.sources import sinks
 from stratapack.sources.tree import TreeSource
 
@@ -131,3 +132,34 @@ def test_paths_and_names(spark, tmp_path):
         f.write(b"1")
         raise RuntimeError
     assert [p.name for p in tmp_path.iterdir()] == ["photos.arc"]
+
+
+def test_selective_codec(spark):
+    files = [("a.dll", "file", b"code " * 400), ("b.txt", "file", b"text " * 400)]
+    a = archive.build(spark, frame(spark, files), Options(spec=codecs.SELECTIVE))
+    where = a.spans.join(a.blocks.select("block_id", "codec"), "block_id").join(a.entries.select("file_id", "path"), "file_id")
+    strong = {p: ("." + p.rsplit(".", 1)[1]) in classify.STRONGER_EXTENSIONS for p, _, _ in files}
+    assert {r["path"]: r["codec"] == codecs.STRONG for r in where.collect()} == strong
+    assert all(r["ok"] for r in archive.verify(a).collect())
+
+
+def test_size_caps_and_block_ranges(spark, tmp_path):
+    a = archive.build(spark, frame(spark, tree()), Options("fast"))
+    out = str(tmp_path / "x.pack")
+    archive.write(spark, a, out)
+    for caps in ({"max_manifest": 10}, {"max_payload": 10}):
+        with pytest.raises(ValueError, match="too large"):
+            archive.read_manifest(spark, out, **caps)
+    got = archive.read_manifest(spark, out, max_manifest=1 << 28, max_payload=2 << 30)
+    assert archive.structural_faults(got).count() == 0
+    for at in (F.lit(-1), F.col("payload_offset") + (1 << 40)):
+        moved = got.blocks.withColumn("payload_offset", F.when(F.col("group_seq") == 0, at).otherwise(F.col("payload_offset")))
+        faults = archive.structural_faults(archive.Archive(got.entries, got.spans, moved, got.codecs)).collect()
+        assert [r["fault"] for r in faults] == ["block out of range"]
+
+
+def test_unresolved_span_is_refused(spark):
+    spans = spark.createDataFrame([(1, "k"), (2, "lost")], "file_id long, block_key string")
+    canonical = spark.createDataFrame([("k", "b")], "block_key string, block_id string")
+    with pytest.raises(Exception, match="unresolved span of file 2"):
+        resolve_copies(spans, canonical).collect()
