@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence wordings. An aggregate over all documents gives each key word's
-document frequency; the index posts every template under its rarest (highest-IDF) word with that
-word's place in the template. A file's licence words are looked up in the index, each hit proposes
-where the template would start, and the words at the template's other places are compared with the
-file's by relative position. The base phrases count wherever all their words stand in a row; the
+document frequency; the index posts every template under the RAREST (highest-IDF) of them with their
+places in the template. A file's licence words are looked up in the index, each hit proposes where
+the template would start, and the proposals of a template's posted words are intersected. What is
+left is verified: the key phrase word for word, the other places by relative position. The base phrases count wherever all their words stand in a row; the
 longer wordings count from MIN_SHARE of their words in place, if their key phrase is there in full.
 
 The words of a file are an array in its own row: nothing is exploded, joined or shuffled per word,
@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_SHARE = 0.8
+#: Key words under which a template is posted.
+RAREST = 3
 
 
 @dataclass(frozen=True)
@@ -105,15 +107,13 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     d = _with_words(docs)
     vocabulary = sorted({w for t in TEMPLATES for w in key_words(t)})
     df = document_frequencies(docs, vocabulary)
-    # The index: rarest key word -> templates with that word's place.
-    index: dict[str, list[tuple[int, int]]] = {}
-    for n, t in enumerate(TEMPLATES):
-        place = min(range(*t.key), key=lambda i: (df[t.words[i]], i))
-        index.setdefault(t.words[place], []).append((n, place))
+    # The index: each template's rarest key words with their places; a match has all of them at one start.
+    index = {n: sorted(range(*t.key), key=lambda i, t=t: (df[t.words[i]], i))[:RAREST] for n, t in enumerate(TEMPLATES)}
+    posted = sorted({TEMPLATES[n].words[i] for n, places in index.items() for i in places})
     words = F.col("words")
-    rare = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*index))
+    rare = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*posted))
     d = d.withColumn("hits", rare)
-    matches = [F.transform(F.filter("hits", _is(w)), _match(words, n, place)) for w, posts in index.items() for n, place in posts]
+    matches = [F.transform(_starts(n, places), _match(words, n)) for n, places in index.items()]
     d = d.withColumn("found", F.when(F.size("hits") > 0, F.filter(F.flatten(F.array(*matches)), lambda m: m["share"] > 0)).otherwise(F.array().cast("array<struct<t: int, start: int, share: double>>")))
     base = [n for n, t in enumerate(TEMPLATES) if t.base]
     b = F.filter("found", lambda m: m["t"].isin(*base))
@@ -133,9 +133,22 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
+def _starts(n: int, places: list[int]) -> Column:
+    """Starts of a template that all its posted words agree on: their places intersected by relative position."""
+    out = None
+    for place in places:
+        here = F.transform(F.filter("hits", _is(TEMPLATES[n].words[place])), _less(place))
+        out = here if out is None else F.array_intersect(out, here)
+    return out
+
+
 def _is(word: str):
     return lambda h: h["w"] == word
 
 
-def _match(words: Column, n: int, place: int):
-    return lambda h: F.struct(F.lit(n).alias("t"), (h["i"] - place).alias("start"), _share(words, h["i"] - place, TEMPLATES[n]).alias("share"))
+def _less(place: int):
+    return lambda h: h["i"] - place
+
+
+def _match(words: Column, n: int):
+    return lambda start: F.struct(F.lit(n).alias("t"), start.alias("start"), _share(words, start, TEMPLATES[n]).alias("share"))

@@ -1,5 +1,6 @@
 """License scans against a plain search for the phrases."""
 
+import random
 import re
 
 from hypothesis import given, settings
@@ -18,6 +19,23 @@ def brute(text):
     return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def brute_labels(text):
+    """Every template at every start: labels and the highest share of words in place."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, score = set(), 0.0
+    for t in licenses.TEMPLATES:
+        first, end = t.key
+        for start in range(-first, len(words)):
+            if tuple(words[start + first : start + end]) != t.words[first:end]:
+                continue
+            share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
+            score = max(score, share)
+            if t.base or share >= licenses.MIN_SHARE:
+                labels.add(t.label)
+    return ",".join(sorted(labels)), score
+
+
 def check(spark, texts):
     df = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     got = {r["doc_id"]: r for r in licenses.scan(spark, df).collect()}
@@ -25,6 +43,7 @@ def check(spark, texts):
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(t), t
+        assert (r["labels"], r["score"]) == brute_labels(t), t
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
     return got
 
@@ -62,3 +81,15 @@ def test_frequencies_cover_all_files(spark):
     split = [{w.lower() for w in re.findall(licenses.ANY_WORD, t or "")} for t in texts]
     assert got == {w: sum(w in s for s in split) for w in words}
     assert (got["general"], got["by"], got["public"]) == (4, 2, 2)
+
+
+def test_damaged_wordings(spark):
+    """Templates whole, cut, with words changed or put twice, in other text."""
+    rng, texts = random.Random(5), []
+    for t in licenses.TEMPLATES * 6:
+        w = list(t.words)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(["other", "license", "public", *t.words])
+        w = w[rng.randrange(2) * rng.randrange(len(w)) :]
+        texts.append(" ".join([*["license x public"] * rng.randrange(3), *w, *t.words[: rng.randrange(len(w) + 1)]]).title())
+    check(spark, texts)
