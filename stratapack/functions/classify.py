@@ -23,6 +23,7 @@ STRONGER_EXTENSIONS = [
 MACHINES = {0x14C: "x86", 0x8664: "x86", 0xAA64: "arm64", 0x1C0: "arm", 0x1C4: "thumb"}
 CHUNK_OVER = 65_536
 TEXT_PERCENT = 85
+PRINTABLE = bytes([*range(0x20, 0x7F), 10, 13, 9])
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,9 +85,15 @@ def is_text(printable: Column, n: Column) -> Column:
     return (n > 0) & (F.floor(100 * printable / F.greatest(n, F.lit(1))) >= TEXT_PERCENT)
 
 
-def should_chunk(content: Column, path: Column) -> Column:
+def is_text_bytes(data: bytes) -> bool:
+    """is_text of a content at hand."""
+    return bool(data) and 100 * (len(data) - len(data.translate(None, PRINTABLE))) // len(data) >= TEXT_PERCENT
+
+
+def should_chunk(content: Column, path: Column, text: Column | None = None) -> Column:
+    """text: whether it is text, where that is known or supposed; else it is found out."""
     n = size(content)
-    text = is_text(printable_bytes(content), n)
+    text = is_text(printable_bytes(content), n) if text is None else text
     return (n > CHUNK_OVER) & ~prefers_raw(content, path) & (extension(path).isin(CHUNKABLE_EXTENSIONS) | text)
 
 
@@ -174,8 +181,8 @@ LEVEL_BRANCHES = {
 }
 
 
-def route(content: Column, path: Column, level: str = "balanced") -> Column:
-    """The first transform that is a candidate; png, jpeg and dictionary confirm themselves later."""
+def route(content: Column, path: Column, level: str = "balanced", text: Column | None = None) -> Column:
+    """The first transform that is a candidate; png, jpeg and dictionary confirm themselves later. text: as in should_chunk."""
     on = LEVEL_BRANCHES[level]
     raw, n = prefers_raw(content, path), size(content)
     branch = F.concat(F.lit("branch_"), branch_filter(content))
@@ -187,5 +194,5 @@ def route(content: Column, path: Column, level: str = "balanced") -> Column:
     out = out.when(is_executable(content, path) & branch.isNotNull(), branch)
     out = out.when(is_delta_candidate(path), "delta")
     if "dictionary" in on:
-        out = out.when(is_text(printable_bytes(content), n), "dictionary")
-    return out.when(should_chunk(content, path), "chunk").otherwise("none")
+        out = out.when(is_text(printable_bytes(content), n) if text is None else text, "dictionary")
+    return out.when(should_chunk(content, path, text), "chunk").otherwise("none")

@@ -2,16 +2,17 @@
 
 create -> dedup files -> route and transform -> chunk -> dedup blocks -> order and pack (metadata
 only) -> compress groups (codec competition) -> layout -> tables. Payloads are joined with their
-places and shuffled to their groups; the originals travel with them only where a transform applied.
+places and shuffled to their groups; originals are made from them where a group is stored raw.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,19 @@ from stratapack.functions import classify, codecs, hashing, transforms
 from stratapack.operators import chunking, packing
 from stratapack.operators.dedup import first_copy, resolve_copies
 from stratapack.operators.ordering import running_totals
-from stratapack.session import materialize, ship_code
+from stratapack.session import discard, materialize, ship_code
 from stratapack.sources.tree import canonical_order, escapes
 
 FORMAT_VERSION = 2
 #: Fixed value: largest block, encoded or raw.
 MAX_BLOCK = 2 << 30
 GROUP_CAPS = {"compressible": 8 << 20, "executable": 4 << 20}
+#: Payload bytes of a compression task at least, where small groups are many.
+TASK_BYTES = 2 << 20
+#: Ids and groups up to this count are broadcast, more are shuffled.
+FEW = 100_000
+#: Spans in one list of a block.
+SPANS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,39 +55,90 @@ class Options:
 
 
 def prepare(files: DataFrame, o: Options) -> DataFrame:
-    """Blocks of each file: file_id, block_idx, payload, fallback, transforms, recipe, raw."""
-    routed = files.select("file_id", "path", "content").withColumn("route", classify.route(F.col("content"), F.col("path"), o.level)).withColumn("raw", classify.prefers_raw(F.col("content"), F.col("path")))
-    chunked = routed.where((F.col("route") == "chunk") | classify.should_chunk(F.col("content"), F.col("path")) & F.lit(o.scope == "chunk"))
-    whole = routed.join(chunked.select("file_id"), "file_id", "left_anti") if o.scope == "chunk" else routed.where("route <> 'chunk'")
-    pieces = chunking.chunk_files(chunked, o.gear_chunks).select("file_id", F.col("chunk_idx").alias("block_idx"), F.col("data").alias("content"), F.lit("dictionary" if o.scope == "chunk" else "none").alias("route"), F.lit(True).alias("chunked"), F.lit(False).alias("raw"))
-    one = whole.select("file_id", F.lit(0).alias("block_idx"), "content", "route", F.lit(False).alias("chunked"), "raw")
-    both = one.unionByName(pieces).withColumn("t", transforms.apply_transform(F.col("content"), F.col("route")))
-    marks = F.array_compact(F.array(F.when(F.col("chunked"), "chunk"), F.col("t.applied")))
-    return both.select("file_id", "block_idx", F.coalesce("t.payload", "content").alias("payload"), F.col("content").alias("fallback"), marks.alias("transforms"), "t.recipe", "raw")
+    """Blocks of each file: file_id, path, block_idx, payload, transforms, recipe, raw, both sizes and digests, fingerprint.
+
+    Whether a file is text, which needs every byte, is found where the bytes are cut and transformed: the
+    columns give the route for either case. The original of a changed payload isn't kept, since apply_verified
+    has seen that reverse() gives it back.
+    """
+    c, p = F.col("content"), F.col("path")
+    cases = [x for text in (False, True) for x in (classify.route(c, p, o.level, F.lit(text)).alias(f"route_{text:d}"), classify.should_chunk(c, p, F.lit(text)).alias(f"chunk_{text:d}"))]
+    cut = chunking.gear_cut_points if o.gear_chunks else chunking.cut_points
+    in_chunks = o.scope == "chunk"
+
+    def blocks(file_id: int, path: str, data: bytes, raw: bool, routes: tuple, chunks: tuple) -> Iterator[tuple]:
+        text = classify.is_text_bytes(data)
+        name, ends = routes[text], [len(data)]
+        chunked = name == "chunk" or in_chunks and bool(chunks[text])
+        if chunked:
+            ends, name, raw = cut(data), "dictionary" if in_chunks else "none", False
+        for i, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
+            part = data[x:y] if chunked else data
+            got = transforms.apply_verified(name, part)
+            payload, recipe = got or (part, None)
+            digest = hashlib.sha256(payload).hexdigest()
+            marks = ["chunk"] * chunked + ([name] if got else [])
+            yield file_id, path, i, payload, marks, recipe, bool(raw), len(payload), len(part), digest, hashlib.sha256(part).hexdigest() if got else digest, packing.sparse_histogram(payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for *of, raw, r0, c0, r1, c1 in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
+                for row in blocks(*(x.as_py() for x in of), raw.as_py(), (r0.as_py(), r1.as_py()), (c0.as_py(), c1.as_py())):
+                    rows.append(row)
+                    held += len(row[3])
+                    if held > HELD:
+                        yield _batch(rows, BLOCKS)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows, BLOCKS)
+
+    return files.select("file_id", "path", "content", classify.prefers_raw(c, p).alias("raw"), *cases).mapInArrow(run, _ddl(BLOCKS))
+
+
+#: Bytes of payloads in one batch that leaves a Python worker.
+HELD = 8 << 20
+DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.string()): "array<string>"}
+BLOCKS = {
+    "file_id": pa.int64(), "path": pa.string(), "block_idx": pa.int32(), "payload": pa.binary(), "transforms": pa.list_(pa.string()), "recipe": pa.binary(), "raw": pa.bool_(),
+    "payload_size": pa.int64(), "fallback_size": pa.int64(), "p_ck": pa.string(), "f_ck": pa.string(), "fingerprint": pa.binary(),
+}
+GROUPS = {"segment": pa.string(), "group_no": pa.int64(), "storage": pa.string(), "codec": pa.string(), "encoded_size": pa.int64(), "raw_size": pa.int64(), "data": pa.binary(), "checksum": pa.string()}
+PARTS = {"file_id": pa.int64(), "span_idx": pa.int32(), "data": pa.binary()}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+
+
+def _ddl(types: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {DDL[t]}" for name, t in types.items())
 
 
 def _compress(o: Options):
+    """Groups of a partition that is sorted by group and position, one after the other."""
     spec, check = o.codecs, o.verified
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        payload = b"".join(map(bytes, pdf["payload"]))
-        fallback = b"".join(bytes(p if f is None else f) for p, f in zip(pdf["payload"], pdf["fallback"], strict=True))
-        stored = bool(pdf["raw"].any())
+    def group(segment: str, group_no: int, rows: list[dict]) -> tuple:
+        payload = b"".join([r["payload"] for r in rows])
+        stored = any(r["raw"] for r in rows)
         if not stored:
-            ext = pdf["segment"].iloc[0].split(":", 1)[1].rsplit(":", 1)[0]  # that of the group's first file, and of all others
+            ext = segment.split(":", 1)[1].rsplit(":", 1)[0]  # that of the group's first file, and of all others
             name, data = codecs.compete(payload, codecs.choose(spec, ext.lower() in classify.STRONGER_EXTENSIONS))
             if check and codecs.CODECS[name][1](data) != payload:
-                raise ValueError(f"{name} doesn't give back group {pdf['segment'].iloc[0]}")
-            stored = len(data) >= len(fallback)
+                raise ValueError(f"{name} doesn't give back group {segment}")
+            stored = len(data) >= sum(r["fallback_size"] for r in rows)
         if stored:
-            name, data, payload = "stored", fallback, fallback
-        return pd.DataFrame([(pdf["segment"].iloc[0], pdf["group_no"].iloc[0], "raw" if stored else "compressed", name, len(data), len(payload), data)], columns=["segment", "group_no", "storage", "codec", "encoded_size", "raw_size", "data"])
-
-    return run
+            name = "stored"
+            data = payload = b"".join([transforms.reverse([t for t in r["transforms"] if t != "chunk"], r["payload"], r["recipe"]) for r in rows])
+        return segment, group_no, "raw" if stored else "compressed", name, len(data), len(payload), data, hashlib.sha256(data).hexdigest()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for key, of in groupby(rows, lambda r: (r["segment"], r["group_no"])):
+            yield _batch([group(*key, list(of))], GROUPS)
 
-GROUP_SCHEMA = "segment string, group_no long, storage string, codec string, encoded_size long, raw_size long, data binary"
+    return run
 
 
 @dataclass
@@ -99,36 +157,44 @@ def build(spark: SparkSession, files: DataFrame, o: Options = Options()) -> Arch
     more = [c for c in files.columns if c not in ("file_id", "path", "kind", "content")]
     entries = files.select("file_id", "path", "kind", *more, F.coalesce(classify.size(F.col("content")), F.lit(0)).alias("size"), F.when(F.col("kind") == "file", hashing.content_digest(F.coalesce("content", F.lit(b"")))).alias("content_ck"))
     entries = materialize(spark, first_copy(entries, F.when(F.col("kind") == "file", F.col("content_ck")).otherwise(F.col("path")), F.col("file_id"), "same_as"), "entries")
-    firsts = entries.where("kind = 'file' AND file_id = same_as").select("file_id")
-    sources = files.withColumn("content", F.coalesce("content", F.lit(b""))).join(firsts, "file_id", "left_semi")
-    blocks = prepare(sources, o)
-    key = hashing.block_key(F.sha2("payload", 256), F.sha2("fallback", 256), "transforms", F.sha2("recipe", 256), "raw")
-    blocks = materialize(spark, blocks.withColumn("block_key", key).withColumn("payload_size", classify.size(F.col("payload"))).withColumn("fallback_size", classify.size(F.col("fallback"))).withColumn("fingerprint", packing.fingerprint("payload")), "blocks")
-    meta = blocks.drop("payload", "fallback", "recipe").join(entries.select("file_id", "path"), "file_id")
-    item = F.struct("path", "block_idx", "file_id")
-    firsts = meta.groupBy("block_key").agg(F.min(item).alias("f"))
-    items = meta.join(firsts, "block_key").where((F.col("f.file_id") == F.col("file_id")) & (F.col("f.block_idx") == F.col("block_idx")))
-    items = items.select(F.col("block_key").alias("item_id"), classify.raw_extension(F.col("path")).alias("ext"), classify.pack_bucket(F.col("path")).alias("bucket"), F.concat("path", F.lit("\x00"), F.lpad(F.col("block_idx").cast("string"), 9, "0")).alias("path"), F.col("payload_size").alias("size"), "fallback_size", "raw", "fingerprint")
-    items = materialize(spark, items, "items")
-    order = packing.similarity_order(items)
-    ordered = items.join(order.select("item_id", "run_no", "position"), "item_id").withColumn("segment", F.concat_ws(":", "bucket", "ext", "run_no"))
-    packed = materialize(spark, packing.pack(ordered, GROUP_CAPS).withColumnRenamed("group_in_segment", "group_no").join(ordered.select("item_id", "position"), "item_id"), "packed")
-    changed = F.when(F.exists("transforms", lambda t: t != "chunk"), F.col("fallback"))  # else the payload is the original
-    payloads = blocks.select("block_key", "file_id", "block_idx", "payload", changed.alias("fallback"), "raw").join(firsts.select("block_key", F.col("f.file_id").alias("file_id"), F.col("f.block_idx").alias("block_idx")), ["block_key", "file_id", "block_idx"])
-    grouped = payloads.join(packed.select(F.col("item_id").alias("block_key"), "segment", "group_no", "position"), "block_key")
-    out = materialize(spark, grouped.select("segment", "group_no", "position", "payload", "fallback", "raw").groupBy("segment", "group_no").applyInPandas(_compress(o), GROUP_SCHEMA), "groups")
-    out = out.withColumn("block_id", F.sha2(F.concat_ws(":", "codec", F.sha2("data", 256)), 256))
+    copies = entries.where("kind = 'file' AND file_id <> same_as").select("file_id")
+    few = copies.limit(FEW + 1).count() <= FEW  # then the contents stay where they are
+    sources = files.where("kind = 'file'").withColumn("content", F.coalesce("content", F.lit(b""))).join(F.broadcast(copies) if few else copies, "file_id", "left_anti")
+    key = hashing.block_key("p_ck", "f_ck", "transforms", F.sha2("recipe", 256).alias("recipe"), "raw")
+    blocks = materialize(spark, prepare(sources, o).withColumn("block_key", key), "blocks", "zstd")
+    firsts = blocks.groupBy("block_key").agg(F.min(F.struct("path", "block_idx", "file_id")).alias("f"))
+    firsts = firsts.select("block_key", F.col("f.file_id").alias("file_id"), F.col("f.block_idx").alias("block_idx"))
+    items = blocks.join(firsts, ["block_key", "file_id", "block_idx"])
+    items = materialize(spark, items.select(F.col("block_key").alias("item_id"), "file_id", "block_idx", classify.raw_extension(F.col("path")).alias("ext"), classify.pack_bucket(F.col("path")).alias("bucket"), F.concat("path", F.lit("\x00"), F.lpad(F.col("block_idx").cast("string"), 9, "0")).alias("path"), F.col("payload_size").alias("size"), "fallback_size", "raw", "fingerprint"), "items")
+    order = packing.similarity_order(items).select("item_id", "run_no", "position")
+    ordered = materialize(spark, items.drop("fingerprint").join(order, "item_id").withColumn("segment", F.concat_ws(":", "bucket", "ext", "run_no")), "ordered")
+    packed = packing.pack(ordered, GROUP_CAPS).withColumnRenamed("group_in_segment", "group_no")
+    packed = materialize(spark, packed.join(ordered.select("item_id", "file_id", "block_idx", "position", "size"), "item_id"), "packed")
+    groups = packed.groupBy("segment", "group_no").agg(F.sum("size").alias("bytes"))
+    groups = running_totals(spark, groups, [F.desc("bytes"), F.col("segment"), F.col("group_no")]).select("segment", "group_no", F.col("position").alias("nth"))
+    count, total = packed.agg(F.count_distinct("segment", "group_no"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(count, 2 * spark.sparkContext.defaultParallelism + total // TASK_BYTES))
+    places = packed.join(groups, ["segment", "group_no"]).select("file_id", "block_idx", "segment", "group_no", "nth", "position")
+    payloads = blocks.select("file_id", "block_idx", "payload", "transforms", "recipe", "raw", "fallback_size").join(places, ["file_id", "block_idx"])
+    # largest groups first, dealt out one by one: a hash would put several into one task and none into others
+    dealt = payloads.repartitionById(tasks, F.pmod("nth", F.lit(tasks)).cast("int")).sortWithinPartitions("nth", "position")
+    dealt = dealt.select("segment", "group_no", "payload", "transforms", "recipe", "raw", "fallback_size")
+    out = materialize(spark, dealt.mapInArrow(_compress(o), _ddl(GROUPS)), "groups", "uncompressed")
+    out = out.withColumn("block_id", F.sha2(F.concat_ws(":", "codec", "checksum"), 256))
     same = out.groupBy("block_id").agg(F.min(F.struct("segment", "group_no")).alias("g"))
-    layout = out.join(same, "block_id").where((F.col("g.segment") == F.col("segment")) & (F.col("g.group_no") == F.col("group_no"))).drop("g")
-    placed = running_totals(spark, layout.drop("data"), [F.col("segment"), F.col("group_no")], F.col("encoded_size"))
-    placed = placed.select("block_id", F.col("position").alias("group_seq"), F.col("before").alias("payload_offset"))
-    tables = layout.join(placed, "block_id").select("block_id", "group_seq", "payload_offset", "encoded_size", "raw_size", "storage", "codec", F.sha2("data", 256).alias("checksum"), "data")
+    kept = out.drop("data").join(same, "block_id").where((F.col("g.segment") == F.col("segment")) & (F.col("g.group_no") == F.col("group_no"))).drop("g")
+    placed = running_totals(spark, kept, [F.col("segment"), F.col("group_no")], F.col("encoded_size"))
+    placed = placed.select("segment", "group_no", F.col("position").alias("group_seq"), F.col("before").alias("payload_offset"))
+    tables = out.join(F.broadcast(placed) if count <= FEW else placed, ["segment", "group_no"])
+    tables = tables.select("block_id", "group_seq", "payload_offset", "encoded_size", "raw_size", "storage", "codec", "checksum", "data")
     where = packed.select(F.col("item_id").alias("block_key"), "segment", "group_no", "payload_offset", "fallback_offset").join(out.select("segment", "group_no", "block_id", "storage"), ["segment", "group_no"])
     stored = F.col("storage") == "raw"
-    spans = blocks.select("file_id", "block_idx", "block_key", "transforms", "recipe", "payload_size", "fallback_size", F.sha2("payload", 256).alias("p_ck"), F.sha2("fallback", 256).alias("f_ck"))
-    spans = resolve_copies(spans, where)
+    spans = resolve_copies(blocks.select("file_id", "block_idx", "block_key", "transforms", "recipe", "payload_size", "fallback_size", "p_ck", "f_ck"), where)
     spans = spans.select("file_id", F.col("block_idx").alias("span_idx"), "block_id", F.when(stored, F.col("fallback_offset")).otherwise(F.col("payload_offset")).alias("offset"), F.when(stored, F.col("fallback_size")).otherwise(F.col("payload_size")).alias("size"), F.when(stored, F.col("f_ck")).otherwise(F.col("p_ck")).alias("checksum"), F.when(stored, F.filter("transforms", lambda t: t == "chunk")).otherwise(F.col("transforms")).alias("transforms"), F.when(~stored, F.col("recipe")).alias("recipe"))
-    return Archive(entries, materialize(spark, spans, "spans"), materialize(spark, tables, "tables"), o.codecs)
+    spans = materialize(spark, spans, "spans")
+    for t in (blocks, items, ordered, packed):
+        discard(spark, t)
+    return Archive(entries, spans, tables, o.codecs)
 
 
 def manifest_checksum(a: Archive) -> str:
@@ -209,40 +275,53 @@ def structural_faults(a: Archive) -> DataFrame:
     return missing.unionByName(twice).unionByName(empty).unionByName(outside).unionByName(paths).distinct()
 
 
-def decode_blocks(blocks: DataFrame) -> DataFrame:
-    """block_id, raw (null if damaged): every block is decoded once, before spans are joined."""
+def _spans_by_block(spans: DataFrame) -> DataFrame:
+    """block_id, spans: lists of a block's spans, of SPANS or about so many at most, for blocks that many files share."""
+    many = spans.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).select("block_id", F.ceil(F.col("n") / SPANS).alias("lists"))
+    dealt = spans.join(many, "block_id").withColumn("list", F.pmod(F.xxhash64("file_id", "span_idx"), F.col("lists")))
+    return dealt.groupBy("block_id", "list").agg(F.collect_list(F.struct("file_id", "span_idx", "offset", "size", "checksum", "transforms", "recipe")).alias("spans")).drop("list")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = []
-            for r in b.to_pylist():
-                try:
-                    data = r["data"] if r["codec"] == "stored" else codecs.codec(r["codec"])[1](r["data"])
-                    raw.append(data if r["intact"] and len(data) == r["raw_size"] else None)
-                except Exception:  # noqa: BLE001 - whatever a codec throws on damaged data
-                    raw.append(None)
-            yield pa.RecordBatch.from_pydict({"block_id": b.column("block_id"), "raw": pa.array(raw, pa.binary())})
 
-    return blocks.select("block_id", "codec", "raw_size", "data", (F.sha2("data", 256) == F.col("checksum")).alias("intact")).mapInArrow(run, "block_id string, raw binary")
+def decode_spans(a: Archive) -> DataFrame:
+    """file_id, span_idx, data (null if damaged): a block is decoded where its list of spans is, so it never travels decoded."""
 
+    def raw(r: dict) -> bytes | None:
+        try:
+            data = r["data"] if r["codec"] == "stored" else codecs.codec(r["codec"])[1](r["data"])
+            return data if r["intact"] and len(data) == r["raw_size"] else None
+        except Exception:  # noqa: BLE001 - whatever a codec throws on damaged data
+            return None
 
-def restore(a: Archive) -> DataFrame:
-    """file_id, path, kind, size, content, ok: every entry with its bytes, and whether all checks held."""
-    slices = a.spans.join(decode_blocks(a.blocks), "block_id", "left").select("file_id", "span_idx", "transforms", "recipe", "checksum", F.substring("raw", F.col("offset").cast("int") + 1, F.col("size").cast("int")).alias("data"))
+    def one(block: bytes | None, s: dict) -> bytes | None:
+        try:
+            data = block[s["offset"] : s["offset"] + s["size"]]
+            if s["checksum"] is not None and hashlib.sha256(data).hexdigest() != s["checksum"]:
+                return None
+            return transforms.reverse([t for t in s["transforms"] if t != "chunk"], data, s["recipe"])
+        except Exception:  # noqa: BLE001 - a lost block or a damaged recipe
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                try:
-                    names = [t for t in r["transforms"] if t != "chunk"]
-                    out.append(transforms.reverse(names, r["data"], r["recipe"]) if r["intact"] else None)
-                except Exception:  # noqa: BLE001 - a damaged recipe
-                    out.append(None)
-            yield pa.RecordBatch.from_pydict({"file_id": b.column("file_id"), "span_idx": b.column("span_idx"), "data": pa.array(out, pa.binary())})
-
-    intact = F.coalesce(F.col("checksum").isNull() | (F.sha2("data", 256) == F.col("checksum")), F.lit(False)) & F.col("data").isNotNull()
-    parts = slices.withColumn("intact", intact).mapInArrow(run, "file_id long, span_idx int, data binary")
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                block, rows, held = raw(r), [], 0
+                for s in r["spans"]:
+                    rows.append((s["file_id"], s["span_idx"], one(block, s)))
+                    held += len(rows[-1][2] or b"")
+                    if held > HELD:
+                        yield _batch(rows, PARTS)
+                        rows, held = [], 0
+                if rows:
+                    yield _batch(rows, PARTS)
+
+    blocks = a.blocks.select("block_id", "codec", "raw_size", "data", (F.sha2("data", 256) == F.col("checksum")).alias("intact"))
+    return _spans_by_block(a.spans).join(blocks, "block_id", "left").drop("block_id").mapInArrow(run, _ddl(PARTS))
+
+
+def restore(a: Archive) -> DataFrame:
+    """file_id, path, kind, size, content, ok: every entry with its bytes, and whether all checks held."""
+    parts = decode_spans(a)
     whole = parts.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("span_idx", "data"))).alias("p"))
     joined = F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["data"]))
     whole = whole.select(F.col("file_id").alias("same_as"), joined.alias("content"))

@@ -23,19 +23,43 @@ SAMPLE_BYTES = 65_536
 CAPS = {"compressible": 512 << 20, "executable": 128 << 20}
 
 
+def _counts(data) -> np.ndarray:
+    """Byte counts, strided over long contents."""
+    buf = np.frombuffer(bytes(data or b""), np.uint8)
+    if len(buf) > SAMPLE_BYTES:
+        buf = buf[:: len(buf) // SAMPLE_BYTES]
+    return np.bincount(buf, minlength=256)
+
+
+def _normalised(n: np.ndarray) -> np.ndarray:
+    h = n.astype(float)
+    norm = np.sqrt((h * h).sum())
+    return (h / norm if norm else h).astype(np.float32)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def fingerprint(content: pd.Series) -> pd.Series:
     """The L2-normalised byte histogram, strided over long contents; zeros for an empty one."""
+    return content.map(lambda data: _normalised(_counts(data)))
 
-    def one(data) -> np.ndarray:
-        buf = np.frombuffer(bytes(data or b""), np.uint8)
-        if len(buf) > SAMPLE_BYTES:
-            buf = buf[:: len(buf) // SAMPLE_BYTES]
-        h = np.bincount(buf, minlength=256).astype(float)
-        norm = np.sqrt((h * h).sum())
-        return (h / norm if norm else h).astype(np.float32)
 
-    return content.map(one)
+def sparse_histogram(data: bytes) -> bytes:
+    """The counts that fingerprint() normalises, of the bytes that occur: byte values, then counts of four bytes."""
+    n = _counts(data)
+    at = np.flatnonzero(n)
+    return at.astype(np.uint8).tobytes() + n[at].astype("<u4").tobytes()
+
+
+def dense(rows: pd.Series) -> np.ndarray:
+    """A row of 256 for each fingerprint, whether dense or a sparse histogram."""
+    if not isinstance(rows.iloc[0], (bytes, bytearray)):
+        return np.stack(rows.to_numpy()).astype(np.float32)
+    out = np.zeros((len(rows), 256), np.float32)
+    for i, data in enumerate(rows):
+        k, n = len(data) // 5, np.zeros(256, np.int64)
+        n[np.frombuffer(data, np.uint8, k)] = np.frombuffer(data, "<u4", k, k)
+        out[i] = _normalised(n)
+    return out
 
 
 def byte_histogram(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
@@ -72,13 +96,11 @@ def chain(h: np.ndarray, sizes: np.ndarray) -> list[int]:
     n = len(h)
     if n <= 2 or n > MAX_RUN:
         return list(range(n))
-    left, at, out = np.ones(n, bool), int(np.argmax(sizes)), []
+    near, taken, at, out = h @ h.T, np.zeros(n, np.float32), int(np.argmax(sizes)), []  # MAX_RUN bounds it to 64 MiB
     for _ in range(n):
         out.append(at)
-        left[at] = False
-        s = h @ h[at]
-        s[~left] = -np.inf
-        at = int(np.argmax(s))
+        taken[at] = -np.inf
+        at = int(np.argmax(near[at] + taken))
     return out
 
 
@@ -100,7 +122,7 @@ def similarity_order(items: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["path", "item_id"], ignore_index=True)
-        order = chain(np.stack(pdf["fingerprint"].to_numpy()).astype(np.float32), pdf["size"].to_numpy())
+        order = chain(dense(pdf["fingerprint"]), pdf["size"].to_numpy())
         out = pdf.iloc[order][["item_id", "ext", "run_no"]]
         return out.assign(position=np.arange(len(out), dtype=np.int64))
 

@@ -54,12 +54,19 @@ def _own_dir() -> str:
     return _OWN[0]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; removed when the driver exits."""
     path = f"{shared_dir(spark)}/stratapack-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path, True)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    _remove(spark, df._scratch, True)
 
 
 def removed_at_exit(spark: SparkSession, path: str) -> None:
