@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratapack import session
-from stratapack.functions import classify, codecs
+from stratapack.functions import classify, codecs, transforms
 from stratapack.operators import archive, packing
 from stratapack.operators.archive import Options
 
@@ -73,6 +73,45 @@ def test_lzma_gives_the_bytes_of_its_preset(size):
     assert got == lzma.compress(data, lzma.FORMAT_RAW, filters=codecs._LZMA) and codecs.CODECS["lzma"][1](got) == data
 
 
+@pytest.mark.parametrize("size", [0, 1, 5000, codecs.PIECE, 1_500_000])
+def test_codecs_fed_in_pieces_give_the_same_bytes(size):
+    data = (b" ".join(c for _, c in texts(40, 50_000)))[:size]
+    for name in codecs.STREAMS:
+        whole = codecs.CODECS[name][0](data)
+        assert codecs.compress_below(name, data, len(whole) + 1) == whole and codecs.compress_below(name, data, len(whole)) is None
+    for spec in (["lzma", "zstd-19", "bz2", "zlib-9"], ["zlib-9", "bz2", "zstd-19", "lzma"]):
+        every = [(len(codecs.CODECS[n][0](data)), i, n) for i, n in enumerate(spec)]
+        assert codecs.compete(data, spec) == (min(every)[2], codecs.CODECS[min(every)[2]][0](data))
+
+
+def test_a_codec_that_cannot_win_stops(monkeypatch):
+    fed = []
+
+    class Plain:
+        def compress(self, piece):
+            fed.append(len(piece))
+            return bytes(piece)
+
+        def flush(self):
+            return b""
+
+    monkeypatch.setitem(codecs.CODECS, "plain", (bytes, bytes))
+    monkeypatch.setitem(codecs.STREAMS, "plain", lambda n: Plain())
+    data = b" ".join(c for _, c in texts(40, 50_000))
+    name, out = codecs.compete(data, ["bz2", "plain"])
+    assert name == "bz2" and len(out) <= sum(fed) < len(out) + codecs.PIECE < len(data)
+
+
+def test_dictionary_codes_whole_runs_only():
+    rng = random.Random(7)
+    for _ in range(300):
+        data = b" ".join(rng.choices([b"aaaa", b"aaaaaaaa", b"aaaa_", b"bbbbb", b"\xff", b"\xffaaaa", b"bbbbb-aaaa", b"x", "é".encode()], k=rng.randrange(60)))
+        code = {t: bytes([transforms.MARK, i + 1]) for i, t in enumerate(transforms.select_tokens(data))}
+        parts = transforms.RUN.split(data.replace(b"\xff", b"\xff\x00"))
+        plain, got = b"".join(map(code.get, parts, parts)), transforms.dictionary_apply(data)
+        assert got is None and (not code or len(plain) >= len(data)) or got[0] == plain and transforms.dictionary_reverse(*got) == data
+
+
 def test_chain_and_sparse_histograms():
     data = [c for _, c in texts(60, 2000)] + [b"", os.urandom(200_000)]
     sizes = np.array([len(d) for d in data])
