@@ -156,7 +156,9 @@ def build(spark: SparkSession, files: DataFrame, o: Options = Options()) -> Arch
     ship_code(spark)
     more = [c for c in files.columns if c not in ("file_id", "path", "kind", "content")]
     entries = files.select("file_id", "path", "kind", *more, F.coalesce(classify.size(F.col("content")), F.lit(0)).alias("size"), F.when(F.col("kind") == "file", hashing.content_digest(F.coalesce("content", F.lit(b"")))).alias("content_ck"))
-    entries = materialize(spark, first_copy(entries, F.when(F.col("kind") == "file", F.col("content_ck")).otherwise(F.col("path")), F.col("file_id"), "same_as"), "entries")
+    digests = materialize(spark, entries, "digests")  # contents are read and hashed once
+    entries = materialize(spark, first_copy(digests, F.when(F.col("kind") == "file", F.col("content_ck")).otherwise(F.col("path")), F.col("file_id"), "same_as"), "entries")
+    discard(spark, digests)
     copies = entries.where("kind = 'file' AND file_id <> same_as").select("file_id")
     few = copies.limit(FEW + 1).count() <= FEW  # then the contents stay where they are
     sources = files.where("kind = 'file'").withColumn("content", F.coalesce("content", F.lit(b""))).join(F.broadcast(copies) if few else copies, "file_id", "left_anti")

@@ -102,6 +102,50 @@ def test_a_codec_that_cannot_win_stops(monkeypatch):
     assert name == "bz2" and len(out) <= sum(fed) < len(out) + codecs.PIECE < len(data)
 
 
+def test_the_dearest_codec_has_the_smallest_result_to_stop_at(monkeypatch):
+    fed = []
+
+    class Feeds:
+        def __init__(self, n):
+            self.stream, self.flush = lzma_stream(n), lambda: self.stream.flush()
+
+        def compress(self, piece):
+            fed.append(len(piece))
+            return self.stream.compress(piece)
+
+    lzma_stream = codecs.STREAMS["lzma"]
+    monkeypatch.setitem(codecs.STREAMS, "lzma", Feeds)
+    rng = random.Random(5)
+    plain, noise = b" ".join(c for _, c in texts(40, 50_000)), rng.randbytes(300_000)
+    small = len(codecs.CODECS["bz2"][0](plain))
+    assert small < len(codecs.CODECS["lzma"][0](plain))
+    assert codecs.compete(plain, ["lzma", "zstd-19", "bz2"]) == ("bz2", codecs.CODECS["bz2"][0](plain))
+    assert 0 < sum(fed) < len(plain)
+    assert codecs.compete(noise, ["lzma", "zstd-19", "bz2"])[0] == min((len(codecs.CODECS[n][0](noise)), i, n) for i, n in enumerate(["lzma", "zstd-19", "bz2"]))[2]
+
+
+@pytest.mark.parametrize("spec", [["lzma", "early", "late"], ["early", "lzma", "late"], ["early", "late", "lzma"]])
+def test_ties_go_to_the_earlier_codec_whatever_runs_first(spec, monkeypatch):
+    data = b" ".join(c for _, c in texts(4, 50_000))
+    got = codecs.CODECS["lzma"][0](data)
+    for name in ("early", "late"):
+        monkeypatch.setitem(codecs.CODECS, name, (lambda d: bytes(len(got)), bytes))
+    assert codecs.compete(data, spec)[0] == spec[0] and len(codecs.compete(data, spec)[1]) == len(got)
+
+
+def test_contents_are_read_twice_only(spark, scratch):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    files = frame(spark, texts(20, 3000))
+    a = archive.build(spark, files.mapInArrow(rows, files.schema), Options("fast"))  # once to hash them, once to cut and pack them
+    assert read.value == 2 * 20 and a.entries.count() == 20
+
+
 def test_dictionary_codes_whole_runs_only():
     rng = random.Random(7)
     for _ in range(300):
